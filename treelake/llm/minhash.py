@@ -9,7 +9,7 @@ Each band's bucket names candidates, and every link is confirmed on the full shi
 2. leaders: members of a bucket are compared with its smallest id, then those outside the leader's component with
    the smallest of themselves, twice; that joins groups of copies without listing their pairs;
 3. rest: buckets that still hold several components are compared in blocks, all members against all, first on
-   signatures (252 values, cut 6 standard deviations below the threshold), then on sets.  No cap on bucket sizes:
+   set sizes, then signatures (252 values, cut 5 standard deviations below the threshold), then on sets.  No cap on bucket sizes:
    a large bucket is more blocks, each a task of bounded memory, and pairs inside one component are passed over.
 """
 
@@ -27,8 +27,9 @@ from .common import attach, components, salt_of, stage
 
 BANDS, ROWS = 42, 6
 PERMUTATIONS = BANDS * ROWS // 2
-#: Share of agreeing signature values under which a pair isn't compared on sets, relative to the threshold.
-SLACK = 0.15
+#: Standard deviations of the agreeing share of a signature below the threshold from where on a pair is compared on
+#: sets: a pair that holds is passed over with probability 3e-7, less than by the bands.
+SIGMAS = 5
 #: Members of a block in step 3.
 BLOCK = 256
 #: Members that one copy of a leader's set is joined with.
@@ -152,7 +153,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return stage(both.select("a", "b", "x", "y").mapInPandas(_confirm(num, den), "a long, b long"), "links")
 
 
-def _block(least: float):
+def _block(ratio: float):
+    least = ratio - SIGMAS * (ratio * (1 - ratio) / (2 * PERMUTATIONS)) ** 0.5
+
     def run(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         left = mine[mine["block"] == i] if i != j else mine
@@ -161,9 +164,11 @@ def _block(least: float):
         s, t = sig(left), sig(right)
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
         comps, compt = left["comp"].to_numpy(), right["comp"].to_numpy()
+        sizes, sizet = left["size"].to_numpy(), right["size"].to_numpy()
         out = []
         for k in range(len(ids)):
-            ok = ((t == s[k]).mean(axis=1) >= least) & (compt != comps[k]) & ((other > ids[k]) if i == j else True)
+            ok = (compt != comps[k]) & (np.minimum(sizet, sizes[k]) >= (ratio - 1e-9) * np.maximum(sizet, sizes[k])) & ((other > ids[k]) if i == j else True)
+            ok[ok] = (t[ok] == s[k]).mean(axis=1) >= least
             out += [(max(ids[k], o), min(ids[k], o)) for o in other[ok]]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -172,7 +177,7 @@ def _block(least: float):
 
 def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"id": f["id"], "sig": [signature(np.frombuffer(x, np.uint64)).tobytes() for x in f["items"]]})
+        yield pd.DataFrame({"id": f["id"], "size": [len(x) // 8 for x in f["items"]], "sig": [signature(np.frombuffer(x, np.uint64)).tobytes() for x in f["items"]]})
 
 
 def near_components(
@@ -231,14 +236,14 @@ def _result(sketch: DataFrame, same: DataFrame, final: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
-def rest_pairs(mixed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def rest_pairs(mixed: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
     """Pairs of different components within a bucket whose signatures say they may be linked."""
-    sig = sets.join(mixed.select("id").distinct(), "id", "left_semi").mapInPandas(_signatures, "id long, sig binary")
+    sig = sets.join(mixed.select("id").distinct(), "id", "left_semi").mapInPandas(_signatures, "id long, size long, sig binary")
     # buckets of the same members under another band are looked at once
     who = mixed.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("m"))
     once = who.groupBy("who", "m").agg(F.min("key").alias("key")).select("key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = mixed.join(once, "key", "left_semi").join(sig, "id").withColumn("block", (salt_of("id", salts=1 << 20) % parts).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    spread = rows.select("key", "id", "comp", "sig", "block", F.explode(pair).alias("p")).select("key", "id", "comp", "sig", "block", "p.i", "p.j")
-    return spread.groupBy("key", "i", "j").applyInPandas(_block(least - SLACK), "a long, b long")
+    spread = rows.select("key", "id", "comp", "size", "sig", "block", F.explode(pair).alias("p")).select("key", "id", "comp", "size", "sig", "block", "p.i", "p.j")
+    return spread.groupBy("key", "i", "j").applyInPandas(_block(ratio), "a long, b long")
