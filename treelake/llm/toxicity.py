@@ -92,9 +92,10 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sample_ids(labels: DataFrame, label_col: str, fold: str, most: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``most`` (id, label, turn) rows of either class whose id passes ``fold``; the same ones at any time."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    one = one.groupBy("id").agg(F.max("label").alias("label")).where(fold).withColumn("turn", F.xxhash64(F.lit("order"), "id"))
-    take = lambda y: one.where(F.col("label") == y).orderBy("turn", "id").limit(most)
-    return take(0).unionByName(take(1))
+    one = one.groupBy("id").agg(F.max("label").alias("label")).where(fold).withColumn("pick", F.xxhash64(F.lit("pick"), "id"))
+    take = lambda y: one.where(F.col("label") == y).orderBy("pick", "id").limit(most)
+    # the order of training is drawn apart from the choice: a class cut by its picks would else come first
+    return take(0).unionByName(take(1)).select("id", "label", F.xxhash64(F.lit("turn"), "id").alias("turn"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold: str = "crc32(cast(id as string)) % 5 <> 0", max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> FtrlModel:
