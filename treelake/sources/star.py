@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 NOW = 1009843200
 
 
-@dataclass
 class Index:
-    """A tree as flat tables: ``entries`` (files and links), ``dirs`` and ``xattrs``."""
+    """A tree as flat tables: ``entries`` (files and links), ``dirs`` and ``xattrs``, each planned when first asked for."""
 
-    entries: DataFrame
-    dirs: DataFrame
-    xattrs: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return star_entries(self.spark, self.sf_dir)
+
+    @cached_property
+    def dirs(self) -> DataFrame:
+        return star_dirs(self.spark, self.sf_dir)
+
+    @cached_property
+    def xattrs(self) -> DataFrame:
+        return star_xattrs(self.entries)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +40,10 @@ def epoch_days(ts) -> F.Column:
 
 def load(spark: SparkSession, sf_dir: str) -> Index:
     """Regions, nations, customers and orders are directories; line items are the files and links of their order."""
+    return Index(spark, sf_dir)
+
+
+def star_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
@@ -37,7 +51,7 @@ def load(spark: SparkSession, sf_dir: str) -> Index:
     no = F.col("l_linenumber")
     size = F.when(F.col("l_discount") == 0, F.lit(0.0)).when(F.col("l_quantity") == 50, F.floor(F.col("l_extendedprice") * 50000)).otherwise(F.floor(F.col("l_extendedprice") * F.col("l_quantity")))
     mtime = epoch_days("l_shipdate") * 86400
-    entries = line.select(
+    return line.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], epoch_days("l_shipdate").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("inode"),
         F.concat(F.lit("o"), F.col("l_orderkey")).alias("pinode"),
         F.concat(F.lit("c"), F.col("o_custkey")).alias("ppinode"),
@@ -52,6 +66,10 @@ def load(spark: SparkSession, sf_dir: str) -> Index:
         (mtime + 86400).alias("atime"),
         no.alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_partkey").alias("partkey"),
     )
+
+
+def star_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
     r, n = t("region"), t("nation")
     path = lambda *p: F.concat_ws("/", *[F.concat(F.lit(a), F.col(c)) for a, c in p])
     key = lambda a, c: F.concat(F.lit(a), F.col(c))
@@ -66,10 +84,14 @@ def load(spark: SparkSession, sf_dir: str) -> Index:
         (order, key("o", "o_orderkey"), key("c", "o_custkey"), 4, path(*up)),
     ):
         dirs = dirs.unionByName(df.select(inode.alias("inode"), pinode.alias("pinode"), F.lit(level).alias("level"), p.alias("path")))
+    return dirs
+
+
+def star_xattrs(entries: DataFrame) -> DataFrame:
+    no = F.col("line")
     attr = F.when(no == 1, F.array(F.struct(F.lit("user.flag").alias("name"), F.col("flag").alias("value")), F.struct(F.lit("user.status").alias("name"), F.col("status").alias("value"))))
     attr = attr.when(no == 2, F.array(F.struct(F.lit("user.flag").alias("name"), F.col("flag").alias("value"))))
-    xattrs = entries.where("line <= 2").withColumn("l_linenumber", F.col("line")).select("inode", F.explode(attr).alias("x")).select("inode", F.col("x.name").alias("name"), F.col("x.value").alias("value"))
-    return Index(entries, dirs, xattrs)
+    return entries.where("line <= 2").select("inode", F.explode(attr).alias("x")).select("inode", F.col("x.name").alias("name"), F.col("x.value").alias("value"))
 
 
 ORACLE_CTE = """
