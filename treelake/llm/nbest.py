@@ -8,6 +8,7 @@ spaces, around a newline), the lattice falls apart into chunks: a text's N best
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 from bisect import insort
 from collections.abc import Iterator
@@ -17,7 +18,6 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +47,8 @@ class Lattice:
             self.out[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
-        splits = not any(regex.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, regex.DOTALL) for p in self.pieces)
-        self.chunks = regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall if splits else (lambda s: [s])
+        splits = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.DOTALL) for p in self.pieces)
+        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall if splits else (lambda s: [s])
         #: The pieces as a trie: character -> (children, (ids, score) or None).
         self.trie: dict = {}
         for p, (i, x) in self.pieces.items():
