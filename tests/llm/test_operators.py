@@ -53,6 +53,16 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_pack_is_optimal_beside_a_long_text(spark):
+    many = {1: 50, 2: 9, 5: 30, 17: 20, 31: 7, 40: 3, 40_000: 1}
+    rows = [(i, "w " * x) for i, x in enumerate(x for x, n in many.items() for _ in range(n))]
+    out = packing.pack(docs(spark, rows), buckets=4).toPandas()
+    lengths, counts = list(many), list(many.values())
+    best = min(padding(sorted({*c, 40_000}), lengths, counts) for c in itertools.combinations(lengths[:-1], 3))
+    assert out.bucket_len.sum() == best and set(out.bucket_len) <= set(many)
+    assert out[out.n_tokens == 40_000].padding.tolist() == [0]
+
+
 # line dedup
 
 

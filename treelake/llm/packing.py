@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 
 from .common import salt_of, stage, text_or_empty
 
-#: Distinct lengths that the driver's histogram may have; beyond it lengths are rounded up to a coarser grid.
-MAX_POINTS = 32_768
 #: Rows a shard of a bucket has on average, which bounds the window that numbers them.
 SHARD_ROWS = 50_000
 
@@ -55,13 +53,10 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return bounds[::-1]
 
 
-def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lengths (rounded up to a grid that keeps them within MAX_POINTS), their row counts, and the grid step."""
-    top = lengths.agg(F.max("len")).first()[0]
-    step = max(1, -(-int(top or 0) // MAX_POINTS))
-    up = (F.ceil(F.col("len") / step) * step).cast("long")
-    found = lengths.groupBy(up.alias("len")).agg(F.count(F.lit(1)).alias("n")).orderBy("len").toPandas()
-    return found["len"].to_numpy(np.int64), found["n"].to_numpy(np.int64), step
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Exact distinct lengths, ascending, and their row counts; the lengths grow with the root of all tokens at most."""
+    found = lengths.groupBy("len").agg(F.count(F.lit(1)).alias("n")).orderBy("len").toPandas()
+    return found["len"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
 def pack(
@@ -75,7 +70,7 @@ def pack(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, bucket, bucket_len, batch, slot, padding``.
 
-    Bucket bounds minimise padding over the histogram of all documents.  A bucket of bound L is cut, in the order of
+    Bucket bounds minimise padding over the exact lengths of all documents, however long one is.  A bucket of bound L is cut, in the order of
     (shard, id, length), into batches of max(1, token_budget // L) documents; ``batch`` counts within a bucket and
     ``slot`` within a batch.  A document longer than the budget is a batch of its own, whole.  Rows are numbered
     per (bucket, shard) and shifted by the sizes of the shards before, so a bucket that holds a third of all rows is
@@ -87,7 +82,7 @@ def pack(
         docs.select(F.col(id_col).alias("id"), F.coalesce(length if length is not None else token_length(text_col), F.lit(0)).cast("long").alias("len")),
         "pack_len",
     )
-    lens, counts, step = histogram(rows)
+    lens, counts = histogram(rows)
     bounds = bucket_bounds(lens, counts, buckets)
     if not bounds:
         return spark.createDataFrame([], SCHEMA)
