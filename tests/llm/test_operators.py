@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 
 import duckdb
@@ -325,6 +326,29 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_repeats(spark):
+    cases = [(label, text, gap) for label, text in license_scan.NOTICES for gap in (0, 1)]
+    apache = "Licensed under the Apache License, Version 2.0"
+    rows = [(i, " ".join([text, *["word"] * gap, text])) for i, (_, text, gap) in enumerate(cases)]
+    rows += [(100, "All rights reserved. " * 300), (101, f"{apache}. License, version 2.0 version 2.0"), (102, "all rights. " * 9)]
+    out = license_scan.scan_licenses(docs(spark, rows)).toPandas()
+    spans = {d.doc_id: [(x["label"], x["lo"], x["hi"]) for x in json.loads(d.spans)] for d in out.itertuples()}
+    r = {d.doc_id: d for d in out.itertuples()}
+    for i, (label, text, gap) in enumerate(cases):
+        n = len(license_scan.words_of(text))
+        copies = {(label, 0, n - 3), (label, n + gap, 2 * n + gap - 3)}
+        assert label in r[i].labels.split(",") and copies <= set(spans[i]) and r[i].score == 1, text
+    assert spans[100] == [("all-rights-reserved", 3 * k, 3 * k) for k in range(300)] and r[100].score == 1
+    assert ("apache-2.0", 0, 5) in spans[101] and r[102].labels == "" and r[102].score == 0
+
+
+def test_license_runs():
+    assert license_scan.best_runs(1, [(0, 1), (3, 1), (7, 1)]) == [(1.0, 0, 0), (1.0, 3, 3), (1.0, 7, 7)]
+    # a fragment, then a complete copy, then a copy with one word put in: diagonals 0, 3 and 7 + 8
+    found = license_scan.best_runs(5, [(0, 0b00011), (3, 0b11111), (11, 0b00011), (12, 0b11000)])
+    assert found == [(1.0, 3, 7), (0.8, 11, 16)]
+
+
 # n-best
 
 

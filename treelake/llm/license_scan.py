@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 K = 3
@@ -95,13 +97,47 @@ def notice_positions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, notice int, at int, size int, label string")
 
 
+def best_runs(size: int, votes: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+    """(share, lo, hi) of the runs of hits that hold LEAST of a notice within the length allowed, in order, disjoint.
+
+    ``votes``: (diagonal, bits of its positions).  The greatest share is taken first, then the shortest, then the
+    earliest run, so a complete copy is never lost to fragments beside it.
+    """
+    most = max(STRETCH * size, size + 1)
+    hits = sorted((d + p, p) for d, bits in votes for p in range(64) if bits >> p & 1)
+    runs = []
+    for i, (lo, _) in enumerate(hits):
+        seen = 0
+        for j in range(i, len(hits)):
+            hi, p = hits[j]
+            if hi - lo + 1 > most:
+                break
+            if not seen >> p & 1:
+                seen |= 1 << p
+                if seen.bit_count() / size >= LEAST:
+                    runs.append((-seen.bit_count(), hi - lo, lo))
+    taken: list[tuple[int, int, float]] = []
+    for n, length, lo in sorted(set(runs)):
+        at = bisect(taken, (lo,))
+        if (at == 0 or taken[at - 1][1] < lo) and (at == len(taken) or taken[at][0] > lo + length):
+            taken.insert(at, (lo, lo + length, -n / size))
+    return [(share, lo, hi) for lo, hi, share in taken]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])))
+def _best_runs(size: pd.Series, diagonals: pd.Series, bits: pd.Series) -> pd.Series:
+    """``best_runs`` of every row; null where diagonals are."""
+    out = [None if d is None else [{"share": s, "lo": lo, "hi": hi} for s, lo, hi in best_runs(int(n), list(zip(map(int, d), map(int, b))))] for n, d, b in zip(size, diagonals, bits)]
+    return pd.Series(out, dtype=object)
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``, one row per input row.
 
     Every rolling k-gram of every whole text meets the notice positions in a broadcast join (their number is fixed);
     hits vote for (document, notice, diagonal), diagonal = word of the document - word of the notice.  Neighbouring
     diagonals merge; a merged span counts if it holds LEAST of the notice's distinct k-grams in at most STRETCH times
-    its length.  ``score``: best share of a notice found, 1 where a base phrase stands.  Null and empty texts have no
+    its length.  A longer one (copies close together, fragments beside a copy) is cut into the runs that do.  ``score``: best share of a notice found, 1 where a base phrase stands.  Null and empty texts have no
     words and score 0; repeated rows come back as often as they stand.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -116,13 +152,16 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     w = Window.partitionBy(*keys, "notice").orderBy("diagonal")
     jump = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > GAP).cast("int"), F.lit(0))
     merged = votes.withColumn("jump", jump).withColumn("group", F.sum("jump").over(w))
-    spans = merged.groupBy(*keys, "notice", "size", "label", "group").agg(F.bit_or("bits").alias("bits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("copies").alias("copies"))
+    spans = merged.groupBy(*keys, "notice", "size", "label", "group").agg(F.bit_or("bits").alias("bits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("copies").alias("copies"), F.collect_list(F.struct("diagonal", "bits")).alias("votes"))
     share = F.bit_count("bits") / F.col("size")
-    good = F.col("notice").isNotNull() & (share >= LEAST) & (F.col("hi") - F.col("lo") + 1 <= F.greatest(F.lit(STRETCH) * F.col("size"), F.col("size") + 1))
+    near = F.col("notice").isNotNull() & (share >= LEAST)
+    fits = F.col("hi") - F.col("lo") + 1 <= F.greatest(F.lit(STRETCH) * F.col("size"), F.col("size") + 1)
+    cut = _best_runs("size", F.when(near & ~fits, F.col("votes.diagonal")), F.when(near & ~fits, F.col("votes.bits")))
+    spans = spans.withColumn("runs", F.when(near & fits, F.array(F.struct(share.alias("share"), "lo", "hi"))).otherwise(cut))
     per = spans.groupBy(*keys).agg(
-        F.collect_set(F.when(good, F.col("label"))).alias("found"),
-        F.max(F.when(good, share)).alias("best"),
-        F.array_sort(F.collect_list(F.when(good, F.struct("lo", "hi", "label")))).alias("spans"),
+        F.collect_set(F.when(F.size("runs") > 0, F.col("label"))).alias("found"),
+        F.max(F.array_max(F.transform("runs", lambda x: x["share"]))).alias("best"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("runs", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.col("label").alias("label")))))).alias("spans"),
         F.sum("copies").alias("copies"),
     )
     labels = F.array_sort(F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.col("found")))
