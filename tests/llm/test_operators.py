@@ -383,6 +383,30 @@ def test_nbest_operators(spark):
     assert nbest.nbest_digest(docs(spark, [])).count() == 0
 
 
+def test_nbest_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nbest, "FLUSH", 400)
+    rows = [*EDGE, (20, "the cat"), (21, "x\ny  two"), (22, "aaaaaa")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op10_nbest(spark, str(tmp_path)).toPandas()
+    lat = nbest.lattice(nbest.MODEL)
+    want = []
+    for i, t in rows:
+        found = [np.frombuffer(lat.chunk(c)[0], np.int32).tolist() for c in lat.split(t)]
+        for r, (score, changes) in enumerate(lat.encode(t, 4)):
+            new = dict(changes)
+            want.append((i, r, round(score, 6), [x for c, ids in enumerate(found) for x in new.get(c, ids)], t or ""))
+    got = [(None if np.isnan(d.doc_id) else int(d.doc_id), d.rank, round(d.score, 6), list(d.ids), d.text) for d in out.itertuples()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r for i, r, *_ in got if i == 20} == {0, 1, 2, 3}
+    assert len({tuple(x) for x in out[out.doc_id == 20].ids}) == 4
+    again = nbest.nbest_decode(nbest.nbest_encode(docs(spark, rows))).toPandas()
+    assert sorted(map(str, zip(again["rank"], again.text))) == sorted(map(str, zip(out["rank"], out.text)))
+
+
+def test_nbest_decode_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, nbest.lattice(nbest.MODEL).fallback("é")[0][:1])], "k long, p array<int>")
+    assert [(r.k, r.t) for r in nbest.nbest_decode(df, ids_col="p", text_col="t").orderBy("k").collect()] == [(1, None), (2, ""), (3, "")]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()

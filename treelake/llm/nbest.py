@@ -18,13 +18,18 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct chunks a worker remembers.
 CACHE = 400_000
+#: Bytes of ids that a batch of rows has at most, or one row.
+FLUSH = 2_000_000
 
 
 class Lattice:
@@ -217,29 +222,82 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def nbest_encode(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def nbest_encode(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """``doc_id, rank, score, ids``: the n best segmentations of every whole text, best first.
 
+    ``decode`` adds ``text``, made from each rank's ids as ``nbest_decode`` makes it, without a second pass.
     Null and empty texts have one segmentation without pieces and score 0.  A text has fewer rows than n where its
     lattice holds fewer segmentations.  Equal scores are ordered by the chunk's search order, the same at any time.
     """
 
-    def run(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model)
-        for f in frames:
-            for i, t in zip(f["id"], f["text"]):
-                chunks = lat.split(t)
+        rows, size = [], 0
+        for f in batches:
+            for i, t in zip(f.column(0).to_pylist(), f.column(1)):
+                chunks = lat.split(t.as_py())
                 found = [lat.chunk(c) for c in chunks]
-                rows = []
+                best = [x[0] for x in found]
                 for r, (score, changes) in enumerate(lat.merge(chunks, found, n)):
-                    parts = [x[0] for x in found]
-                    for c, ids in changes:
-                        parts[c] = np.array(ids, np.int32).tobytes()
-                    rows.append((i, r, score, np.frombuffer(b"".join(parts), np.int32)))
-                yield pd.DataFrame(rows, columns=["doc_id", "rank", "score", "ids"])
+                    parts = best
+                    if changes:
+                        parts = best.copy()
+                        for c, ids in changes:
+                            parts[c] = array("i", ids).tobytes()
+                    rows.append((i, r, score, b"".join(parts)))
+                    size += len(rows[-1][3])
+                    if size > FLUSH:
+                        yield _batch(rows, lat.out if decode else None)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows, lat.out if decode else None)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, rank int, score double, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, rank int, score double, ids array<int>" + (", text string" if decode else ""))
+
+
+def _batch(rows: list[tuple], out: list[bytes] | None) -> pa.RecordBatch:
+    """Rows of ``nbest_encode``, with their texts where ``out``, the bytes of the pieces, is given."""
+    i, r, score, raw = zip(*rows)
+    ends = np.cumsum([0, *map(len, raw)]) // 4
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+    columns = {"doc_id": pa.array(i, pa.int64()), "rank": pa.array(r, pa.int32()), "score": pa.array(score, pa.float64()), "ids": ids}
+    if out is not None:
+        columns["text"] = _texts(ids, pa.array(out, pa.binary()))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _texts(ids: pa.ListArray, out: pa.Array) -> pa.Array:
+    """Text of every list of ids; null of null."""
+    sizes = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = out.take(ids.flatten())
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), b"").to_pylist()
+    return pa.array([x[1:].decode("utf-8", "replace") if ok else None for x, ok in zip(raw, ids.is_valid().to_pylist())], pa.string())
+
+
+def nbest_decode(encoded: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """All columns of ``encoded`` and the text of its piece ids, without the space that encoding puts in front.
+
+    Null ids give null; an empty list gives an empty text, which stands for a null one too.  Ids that aren't the
+    encoding of a text may hold bytes that are no UTF-8; these become U+FFFD.  Ids beyond the vocabulary are an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.array(lattice(model).out, pa.binary())
+        for f in batches:
+            ids = f.column(f.num_columns - 1)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+            at = 0
+            while at < len(ids):
+                # as many rows as stay within FLUSH, one at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + FLUSH // 4, side="right")) - 1)
+                part = f.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _texts(part.columns[-1], out)], [*f.schema.names[:-1], text_col])
+                at = to
+
+    kept = encoded.drop(text_col)
+    rows = kept.select("*", F.col(f"`{ids_col}`").cast("array<int>").alias("__ids"))
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def nbest_digest(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

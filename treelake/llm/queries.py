@@ -60,7 +60,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.nbest_digest(_table(spark, sf_dir, "documents"))
+    return nbest.nbest_encode(_table(spark, sf_dir, "documents"), decode=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
