@@ -10,6 +10,7 @@ from treelake.functions import scalar as S
 from treelake.operators import find as P
 from treelake.plans import registry
 from treelake.sources import trace
+from treelake.sources.star import load
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,6 +45,13 @@ def test_rows_only(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_every_entry_is_attached_and_listed(spark):
+    x = load(spark, SF)
+    assert registry.QUERIES["external_attach_all"](spark, SF).count() == x.entries.count()
+    names = [r.name for r in x.entries.select("name").collect()]
+    assert registry.QUERIES["ls_sorted_all"](spark, SF).count() == sum(not n.startswith(".") and not n.endswith("~") for n in names)
+
+
 def one(spark, *cols):
     return list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first())
 

@@ -176,8 +176,17 @@ def distinct_uids(x: Index, s, d):
 
 @query("SELECT e.inode, p_brand, p_type FROM entries e LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON partkey = p_partkey WHERE gid = 3")
 def external_attach(x: Index, s, d):
+    return _attached(x.entries.where("gid = 3"), s, d)
+
+
+@query("SELECT e.inode, p_brand, p_type FROM entries e LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON partkey = p_partkey")
+def external_attach_all(x: Index, s, d):
+    return _attached(x.entries, s, d)
+
+
+def _attached(entries: DataFrame, s, d) -> DataFrame:
     side = table(s, d, "part").where("p_size > 10").select(C("p_partkey").alias("partkey"), "p_brand", "p_type")
-    return x.entries.where("gid = 3").select("inode", "partkey").join(side, "partkey", "left").drop("partkey")
+    return entries.select("inode", "partkey").join(side, "partkey", "left").drop("partkey")
 
 
 _sum_sql = """count(*) FILTER (WHERE type = 'f') AS totfiles, count(*) FILTER (WHERE type = 'l') AS totlinks,
@@ -251,7 +260,16 @@ def old_big_files(x: Index, s, d):
 
 @query(r"SELECT inode, name, lower(name) AS k FROM entries WHERE gid = 1 AND name NOT LIKE '.%' AND name NOT LIKE '%~'")
 def ls_sorted(x: Index, s, d):
-    return x.entries.where("gid = 1 and name not like '.%' and name not like '%~'").select("inode", "name", F.lower("name").alias("k")).orderBy("k", "inode")
+    return _listed(x.entries.where("gid = 1"))
+
+
+@query(r"SELECT inode, name, lower(name) AS k FROM entries WHERE name NOT LIKE '.%' AND name NOT LIKE '%~'")
+def ls_sorted_all(x: Index, s, d):
+    return _listed(x.entries)
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    return entries.where("name not like '.%' and name not like '%~'").select("inode", "name", F.lower("name").alias("k")).orderBy("k", "inode")
 
 
 def stat(name: str, f: Callable, sql: str, cte: str = "") -> None:
