@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from treelake.functions import hist as H
 from treelake.functions import scalar as S
+from treelake.operators import analyses as A
 from treelake.operators import find as P
+from treelake.operators import summary as M
 from treelake.plans import registry
 from treelake.sources import trace
 from treelake.sources.star import load
@@ -52,6 +54,16 @@ def test_every_entry_is_attached_and_listed(spark):
     assert registry.QUERIES["ls_sorted_all"](spark, SF).count() == sum(not n.startswith(".") and not n.endswith("~") for n in names)
 
 
+def test_deep_trees(spark):
+    chain = [(i, i - 1, "/".join(map(str, range(i))), i, 5) for i in range(70)]
+    tree = spark.createDataFrame([*chain, *[(100 + i, 69, f"leaf{i}", 70, 1000 if i == 7 else 5) for i in range(20)]], "inode long, pinode long, path string, level int, size long")
+    assert [(r.path, r.outlier_type) for r in A.find_outliers(tree, "size").collect()] == [("leaf7", "no-subdirs")]
+    # a chain deeper than 1000 levels, with an illegal pair at 600 to 601
+    dirs = [(i, i - 1, i, 0o755, 1 if i <= 600 else 2, 1) for i in range(1100)]
+    got = M.rollup_fixpoint(spark.createDataFrame(dirs, "inode long, pinode long, level int, mode int, uid long, gid long"))
+    assert {r.inode: r.rolled for r in got.collect()} == {i: i > 600 for i in range(1100)}
+
+
 def one(spark, *cols):
     return list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first())
 

@@ -76,21 +76,25 @@ def rollup_legal(p: str, c: str) -> Column:
     return open_ | (equal(0o555) & uid & gid) | (equal(0o550) & uid & gid) | (equal(0o500) & uid)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once, with its lineage cut; under ``spark.checkpoint.dir`` where that is set."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def rollup_fixpoint(dirs: DataFrame) -> DataFrame:
     """(inode, rolled): leaves are; others where all children are and every parent-child pair is legal.
 
-    One pass per level from the deepest up; a pass joins the level's pairs only.
+    That is where no pair below is illegal: such pairs are handed up by pointers to ancestors that double in every
+    pass, so passes grow with the logarithm of the depth, whatever it is.
     """
-    levels = [r[0] for r in dirs.select("level").distinct().orderBy(F.desc("level")).limit(1000).collect()]
-    pairs = dirs.select("inode", "pinode", "level", *[F.col(x).alias(f"c{x}") for x in ("mode", "uid", "gid")]).join(dirs.select(F.col("inode").alias("pinode"), *[F.col(x).alias(f"p{x}") for x in ("mode", "uid", "gid")]), "pinode")
-    pairs = pairs.select("inode", "pinode", "level", rollup_legal("p", "c").alias("legal"))
-    done, last = None, None
-    for level in levels:
-        here = dirs.where(F.col("level") == level).select("inode")
-        if last is None:
-            last = here.withColumn("rolled", F.lit(True))
-        else:
-            kids = pairs.where(F.col("level") == level + 1).join(last, "inode").groupBy("pinode").agg(F.bool_and(F.col("legal") & F.col("rolled")).alias("rolled"))
-            last = here.join(kids.withColumnRenamed("pinode", "inode"), "inode", "left").select("inode", F.coalesce("rolled", F.lit(True)).alias("rolled"))
-        done = last if done is None else done.unionByName(last)
-    return done
+    pairs = dirs.select("inode", "pinode", *[F.col(x).alias(f"c{x}") for x in ("mode", "uid", "gid")]).join(dirs.select(F.col("inode").alias("pinode"), *[F.col(x).alias(f"p{x}") for x in ("mode", "uid", "gid")]), "pinode")
+    pairs = pairs.where("inode <> pinode").select("inode", F.col("pinode").alias("up"), rollup_legal("p", "c").alias("legal"))
+    bad = pairs.where("not legal").select(F.col("up").alias("inode"), F.lit(True).alias("bad")).distinct()
+    nodes = dirs.select("inode").join(pairs.select("inode", "up"), "inode", "left").join(bad, "inode", "left")
+    nodes = checkpointed(nodes.select("inode", "up", F.coalesce("bad", F.lit(False)).alias("bad")))
+    while not nodes.where("up is not null").isEmpty():
+        hit = nodes.where("bad and up is not null").select(F.col("up").alias("inode"), F.lit(True).alias("hit")).distinct()
+        jump = nodes.select(F.col("inode").alias("up"), F.col("up").alias("next"))
+        nodes = nodes.join(hit, "inode", "left").join(jump, "up", "left")
+        nodes = checkpointed(nodes.select("inode", F.col("next").alias("up"), (F.col("bad") | F.coalesce("hit", F.lit(False))).alias("bad")))
+    return nodes.select("inode", (~F.col("bad")).alias("rolled"))
