@@ -1,8 +1,10 @@
-"""Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
+"""Exact dedup by a tree-merge of digest runs (DataFrame functions only).
+
+Hash aggregation stands in for sorted runs: no run is sorted or merged on an order.
 
 Leaves: every row falls into one of ``runs`` digest runs by a hash of its id and is reduced, map side first, to one
 record per (run, digest): smallest or largest id, row count.  A run is range-free: it is spread over hash slices of
-the digest, each slice sorted, so a run of any size is never one task.  Rounds: runs whose number differs only in
+the digest, so a run of any size is never one task.  Rounds: runs whose number differs only in
 the lowest ``bits`` bits send their records to the one with those bits cleared (a binomial tree with 2**bits
 children a node), where equal digests merge.  After log(runs)/bits rounds one record per digest is left.
 The result then walks down the same tree: at each level a record meets at most 2**bits children, so even a text
@@ -35,7 +37,7 @@ def digest_records(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col:
 
 
 def merge_round(records: DataFrame, bits: int, keep: str) -> DataFrame:
-    """One round: children send their sorted runs to the parent, which keeps one record per digest."""
+    """One round: children send their runs to the parent, which keeps one record per digest."""
     pick = F.max if keep == "largest" else F.min
     return (
         records.withColumn("run", F.shiftright("run", bits))
