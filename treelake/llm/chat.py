@@ -6,67 +6,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, stage
-
-#: Turn numbers a block spans: windows and rendered segments hold a block, not a conversation of any length.
-BLOCK = 1024
+from .common import Scope, attach, stage
 
 
 def prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """(conv, block, i, n, role, text, p, q): the i-th turn of n, and the rolling 128-bit hash of turns 1 to i.
+    """(conv, i, n, role, text, p, q): the i-th turn of n, and the rolling 128-bit hash of turns 1 to i.
 
-    A turn's hash covers its position, role and text; a prefix is the exclusive-or of its turns, so blocks are hashed
-    apart and chained by their totals.
+    A turn's hash covers its position, role and text; a prefix is the exclusive-or of its turns.
     """
-    t = conversations.where("conv_id is not null").select(
-        F.col("conv_id").alias("conv"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long").alias("block")
-    )
-    sizes = t.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv", "block", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"), F.sum("m").over(Window.partitionBy("conv")).alias("n"), (F.row_number().over(Window.partitionBy("conv").orderBy("block")) - 1).alias("segment"))
-    order = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    t = t.join(sizes, ["conv", "block"]).withColumn("i", F.row_number().over(order) + F.col("off"))
+    t = conversations.where("conv_id is not null").select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = Window.partitionBy("conv")
+    order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("i", F.row_number().over(order))
     t = t.withColumn("h", F.xxhash64("i", "role", "text")).withColumn("g", F.xxhash64(F.lit("turn"), "i", "role", "text"))
-    so_far = Window.partitionBy("conv", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("x", F.bit_xor("h").over(so_far)).withColumn("y", F.bit_xor("g").over(so_far))
-    t = stage(t.select("conv", "block", "segment", "i", "n", "off", "role", "text", "x", "y"), "turns")
-    ends = t.groupBy("conv", "block").agg(F.max_by("x", "i").alias("x"), F.max_by("y", "i").alias("y"))
-    chain = ends.select("conv", "block", F.coalesce(F.bit_xor("x").over(before), F.lit(0)).alias("bx"), F.coalesce(F.bit_xor("y").over(before), F.lit(0)).alias("by"))
-    return t.join(chain, ["conv", "block"]).select("conv", "segment", "i", "n", "role", "text", F.col("x").bitwiseXOR(F.col("bx")).alias("p"), F.col("y").bitwiseXOR(F.col("by")).alias("q"))
+    return t.select("conv", "i", F.count(F.lit(1)).over(whole).alias("n"), "role", "text", F.bit_xor("h").over(so_far).alias("p"), F.bit_xor("g").over(so_far).alias("q"))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """The conversations (conv) that are no prefix of a longer one; of identical ones the smallest id."""
-    keys = stage(prefixes.select("conv", "i", "n", "p", "q"), "prefixes")
-    seen = attach(keys.withColumnRenamed("n", "turns"), ["i", "p", "q"], [F.max("turns").alias("longest"), F.min(F.when(F.col("i") == F.col("turns"), F.col("conv"))).alias("first")])
-    covered = seen.where("i = turns and (longest > turns or first < conv)").select("conv")
-    return keys.where("i = n").select("conv").join(covered, "conv", "left_anti")
+    with Scope() as scope:
+        keys = scope.stage(prefixes.select("conv", "i", "n", "p", "q"), "prefixes")
+        seen = attach(keys.withColumnRenamed("n", "turns"), ["i", "p", "q"], [F.max("turns").alias("longest"), F.min(F.when(F.col("i") == F.col("turns"), F.col("conv"))).alias("first")], scope=scope)
+        covered = seen.where("i = turns and (longest > turns or first < conv)").select("conv")
+        return stage(keys.where("i = n").select("conv").join(covered, "conv", "left_anti"), "maximal")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Rendered maximal conversations: ``conv_id, segment, n_turns, rendered``.
+    """Rendered maximal conversations, one row each: ``conv_id, n_turns, rendered``.
 
     Turns are ordered by (turn, role, text), null turn numbers first; null roles and texts count as empty.  A row of a
     null conv_id belongs to no conversation and is left out; repeated rows are repeated turns.  Columns other than
-    conv_id, turn, role and text are ignored.  A conversation whose turn numbers span more than BLOCK is rendered in
-    segments, one row for each block of turn numbers that it uses, so that no row holds a conversation of any length.
+    conv_id, turn, role and text are ignored.  Gaps in the turn numbers mean nothing.  A conversation is rendered
+    whole, so the longest one must fit into a row, as a document's text must.
     """
     turns = stage(prefix_hashes(conversations), "chat_turns")
     keep = maximal_conversations(turns)
-    lines = turns.join(keep, "conv", "left_semi").groupBy("conv", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("t"))
+    lines = turns.join(keep, "conv", "left_semi").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"])), "\n")
-    return lines.select(F.col("conv").alias("conv_id"), F.col("segment").cast("int").alias("segment"), F.size("t").alias("n_turns"), text.alias("rendered"))
+    return lines.select(F.col("conv").alias("conv_id"), F.size("t").alias("n_turns"), text.alias("rendered"))
 
 
 ORACLE_SQL = """
 WITH t AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 1024.0), -4611686018427387904) AS BIGINT) AS block,
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT *, string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM t),
 g AS (SELECT i, prefix, max(n) AS longest, min(CASE WHEN i = n THEN conv_id END) AS first FROM p GROUP BY i, prefix),
 k AS (SELECT conv_id FROM p JOIN g USING (i, prefix) WHERE i = n AND longest = n AND first = conv_id)
-SELECT conv_id, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg(concat('<|', role, '|>', chr(10), text), chr(10) ORDER BY i) AS rendered
-FROM t WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY conv_id, block
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(concat('<|', role, '|>', chr(10), text), chr(10) ORDER BY i) AS rendered
+FROM t WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY conv_id
 """
