@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import json
 import random
+import time
 
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from treelake.llm import chat, exact_dedup, gif, license_scan, line_dedup, minhash, nbest, packing, quality, queries, toxicity
@@ -86,6 +88,18 @@ def brute_lines(texts, min_lines, min_words):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
 
 
+def test_line_dedup_longest_run(spark):
+    """Common prefixes in whole lines: 3 and 11 are no powers of two."""
+    a, b = [f"line {i} of a" for i in range(11)], [f"b{i}" for i in range(3)]
+    rows = [(1, "\n".join([*a, "x", *b])), (2, "\n".join(["y", *b, "z"])), (3, "\n".join([*a, "\n", *b, "w"])), (4, "one\ntwo"), (5, "\n".join(a[2:9]))]
+    out = {r.doc_id: (r.lines_removed, r.longest_run) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert out == {1: (0, 0), 2: (3, 3), 3: (14, 11), 4: (0, 0), 5: (7, 7)}
+    with line_dedup.Scope() as scope:
+        rounds = line_dedup.repeated_blocks(line_dedup.line_table(docs(spark, rows)), scope)
+        runs = {(r.doc, r.seq, r["first"].doc, r["first"].seq, r.len) for r in line_dedup.maximal_runs(rounds, 2, scope).collect()}
+    assert runs == {(2, 1, 1, 12, 3), (3, 0, 1, 0, 11), (3, 11, 1, 12, 3), (5, 0, 1, 2, 7)}
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 4])
 def test_line_dedup_brute_force(spark, min_lines):
     rng = random.Random(min_lines)
@@ -183,8 +197,9 @@ def family(seed, n, edits, length=60):
     return out
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_components_brute_force(spark, words, monkeypatch):
+@pytest.mark.parametrize(("words", "items"), [(2, 4_000_000), (2, 0), (5, 4_000_000), (5, 2000)])
+def test_near_components_brute_force(spark, words, items, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP_ITEMS", items)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "LEADER_ROWS", 5)
     texts = [t for s in range(4) for t in family(s, 40, 4)] + ["one", "two words", "two words", "ONE"]
@@ -193,6 +208,27 @@ def test_near_components_brute_force(spark, words, monkeypatch):
     assert got == brute_components(rows, words)
 
 
+@pytest.mark.parametrize("lead", [4, 64, 10_000])
+def test_set_components_brute_force(lead, monkeypatch):
+    monkeypatch.setattr(minhash, "LEAD_SETS", lead)
+    rng = random.Random(lead)
+    for _ in range(40):
+        rows = list(enumerate(t for s in range(3) for t in family(rng.random(), rng.randint(1, 40), rng.choice([2, 8, 14]), rng.randint(3, 90))))
+        num, den = rng.choice([(80, 100), (50, 100), (95, 100), (1, 1)])
+        got = minhash.set_components([d for d, _ in rows], [minhash.shingle_set(t, 2) for _, t in rows], num, den)
+        assert got == {d: c for d, (_, c) in brute_components(rows, 2, num, den).items()}
+
+
+@pytest.mark.parametrize("items", [4_000_000, 0])
+def test_near_components_of_repeated_ids(spark, items, monkeypatch):
+    """Rows of one id are one document: what either of its texts is linked with is one component."""
+    monkeypatch.setattr(minhash, "GROUP_ITEMS", items)
+    x, y = family(1, 1, 0)[0], family(2, 1, 0)[0]
+    rows = [(3, x), (9, x + " more"), (9, y), (9, None), (5, y + " more"), (5, y + " more"), (7, "alone"), (None, x)]
+    out = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_components(docs(spark, rows), words=2).collect()}
+    assert out == {(3, 3, True), (9, 3, False), (9, 9, True), (5, 3, False), (7, 7, True), (None, None, True)}
+
+
 def test_near_components_edges(spark):
     df = docs(spark, EDGE).withColumn("component_id", F.lit("clash"))
     out = minhash.near_components(df).toPandas()
@@ -234,11 +270,12 @@ def test_chats(spark):
     rows = [(None, 0, "user", "x"), (7, None, None, None), (7, 0, "user", "hi")]
     for c in range(20, 90):
         rows += [(c, t, "user" if t % 2 == 0 else "assistant", str(rng.randint(0, 1))) for t in range(rng.randint(1, 5))]
-    rows += [(500, t * 700, "user", f"t{t}") for t in range(6)] + [(501, t * 700, "user", f"t{t}") for t in range(4)] + [(600, 1, "user", "same"), (600, 1, "user", "same")]
+    rows += [(500, t * 700, "user", f"t{t}") for t in range(6)] + [(501, t * 700, "user", f"t{t}") for t in range(4)] + [(502, t, "user", x) for t, x in ((0, "a"), (5000, "b"), (1_700_000_000, "c"))] + [(600, 1, "user", "same"), (600, 1, "user", "same")]
     schema = "conv_id long, turn long, role string, text string"
     out = chat.format_chats(docs(spark, rows, schema).withColumn("n", F.lit("clash"))).toPandas()
     assert set(out.conv_id) == brute_chats(rows)
-    assert out[out.conv_id == 500].n_turns.sum() == 6 and len(out[out.conv_id == 500]) == 4 and 501 not in set(out.conv_id)
+    assert out[out.conv_id == 500].n_turns.tolist() == [6] and 501 not in set(out.conv_id)
+    assert out[out.conv_id == 502].rendered.tolist() == ["<|user|>\na\n<|user|>\nb\n<|user|>\nc"]
     assert out[out.conv_id == 600].rendered.tolist() == ["<|user|>\nsame\n<|user|>\nsame"]
     assert chat.format_chats(docs(spark, [], schema)).count() == 0
 
@@ -358,11 +395,16 @@ def all_paths(edges, j):
     return [(s + w, p + ids) for i, ids, w in edges[j] for s, p in all_paths(edges, i)]
 
 
-@pytest.mark.parametrize("text", ["hello", "the cat", "  two  spaces", "é😀 x\ny", "aaaaaa", "Thestion."])
+TEXTS = ["hello", "the cat", "  two  spaces", "é😀 x\ny", "aaaaaa", "Thestion."]
+
+
+@pytest.mark.parametrize("text", TEXTS)
 def test_nbest_brute_force(text):
     lat = nbest.lattice(nbest.MODEL)
     whole = nbest.SPACE + text.replace(" ", nbest.SPACE)
-    want = sorted((s for s, _ in all_paths(lat.edges(whole), len(whole))), reverse=True)[:5]
+    edges = [[]] + [lat.ending(whole, j) for j in range(1, len(whole) + 1)]
+    assert [{(i, w) for i, _, w in e} for e in edges] == slow_edges(lat, whole)
+    want = sorted((s for s, _ in all_paths(edges, len(whole))), reverse=True)[:5]
     got = lat.encode(text, 5)
     assert [s for s, _ in got] == pytest.approx(want)
     for score, changes in got:
@@ -374,13 +416,67 @@ def test_nbest_brute_force(text):
     assert len({tuple(map(str, c)) for _, c in got}) == len(got)
 
 
+def slow_edges(lat, s):
+    """(start, score) of the pieces by end, from the model's own list; a character without a piece costs its bytes."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=nbest.MODEL)
+    usable = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    out = [set() for _ in range(len(s) + 1)]
+    for i, j in itertools.combinations(range(len(s) + 1), 2):
+        if s[i:j] in usable:
+            out[j].add((i, usable[s[i:j]]))
+        elif j == i + 1:
+            out[j].add((i, lat.penalty * len(s[i].encode())))
+    return out
+
+
+def test_nbest_rank_0_is_a_plain_viterbi(spark):
+    lat = nbest.lattice(nbest.MODEL)
+    rows = [t for t in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).toPandas().text if t]
+    for text in rows:
+        s = nbest.SPACE + text[:1500].replace(" ", nbest.SPACE)
+        best = [0.0]
+        for e in slow_edges_by_end(lat, s):
+            best.append(max(best[i] + w for i, w in e))
+        assert lat.encode(text[:1500], 1)[0][0] == pytest.approx(best[-1])
+
+
+def slow_edges_by_end(lat, s):
+    for j in range(1, len(s) + 1):
+        e = [(i, lat.pieces[s[i:j]][1]) for i in range(max(0, j - 40), j) if s[i:j] in lat.pieces]
+        yield e + ([] if any(i == j - 1 for i, _ in e) else [(j - 1, lat.penalty * len(s[j - 1].encode()))])
+
+
+def test_nbest_learns_many_chunks_as_one():
+    """The cache filled by arrays holds what one chunk at a time gives, ties included."""
+    lat, rng = nbest.Lattice(nbest.MODEL), random.Random(1)
+    chunks = [nbest.SPACE + "".join(rng.choices("theandiouxzé世.,A1", k=rng.randint(1, 70))) for _ in range(3000)] + list(lat.pieces)[5000:7000] + ["😀", "a😀", "\ud800"]
+    lat.learn([chunks[:1500], chunks[1500:]])
+    many, lat.cache = lat.cache, {}
+    assert len(many) > 4000 and all(lat.chunk(c) == found for c, found in many.items())
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "世界é😀"])
+def test_nbest_of_a_long_chunk(alphabet):
+    """Time and memory in proportion: a chunk of 200,000 characters without a space, four times one of 50,000."""
+    lat, rng = nbest.lattice(nbest.MODEL), random.Random(2)
+    took = []
+    for n in (50_000, 200_000):
+        text = "".join(rng.choices(alphabet, k=n))
+        began = time.process_time()
+        found = lat.encode(text, 4)
+        took.append(time.process_time() - began)
+        assert len(found) == (4 if alphabet == "ab" else 1) and found[0][0] >= found[-1][0]
+    assert took[1] < 8 * took[0] and took[1] < 60
+
+
 def test_nbest_operators(spark):
     df = docs(spark, EDGE).withColumn("ids", F.lit("clash"))
-    out = nbest.nbest_digest(df).toPandas()
-    assert len(out) == len(EDGE) and out.round_trip.all() and out[out.doc_id == 2].n_pieces.tolist() == [0]
+    out = nbest.nbest_encode(df, decode=True).toPandas()
+    assert out.groupby(["doc_id", "rank"], dropna=False).size().sum() == len(out) and set(out[out["rank"] == 0].text) == {t or "" for _, t in EDGE}
+    assert out[out.doc_id == 2].ids.map(len).tolist() == [0] and (out["rank"] == 0).sum() == len(EDGE)
     full = nbest.nbest_encode(docs(spark, [(1, "the cat"), (2, None)]), n=3).orderBy("doc_id", "rank").collect()
     assert [(r.doc_id, r["rank"]) for r in full] == [(1, 0), (1, 1), (1, 2), (2, 0)] and full[0].score >= full[1].score
-    assert nbest.nbest_digest(docs(spark, [])).count() == 0
+    assert nbest.nbest_encode(docs(spark, [])).count() == 0
 
 
 def test_nbest_query(spark, tmp_path, monkeypatch):

@@ -7,17 +7,16 @@ spaces, around a newline), the lattice falls apart into chunks: a text's N best
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,6 +27,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct chunks a worker remembers.
 CACHE = 400_000
+#: Characters of a chunk up to which it is remembered and worked on together with others; characters of one such lot.
+SHORT, WIDE = 64, 1 << 15
+#: Letters whose steps in the trie are a table.
+NEAR = 128
+#: Characters of texts split at once.
+SPLIT = 2_000_000
 #: Bytes of ids that a batch of rows has at most, or one row.
 FLUSH = 2_000_000
 
@@ -44,8 +49,8 @@ class Lattice:
         self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in usable if sp.id_to_piece(i)}
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        #: Every beginning of a piece: ids and score where it is a piece itself, () where it only begins one.
-        self.prefixes = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | {p: ((i,), x) for p, (i, x) in self.pieces.items()}
+        self.whole = {p: ((i,), x) for p, (i, x) in self.pieces.items()}
+        self.longest = max(map(len, self.pieces))
         self.penalty = min(s for _, s in self.pieces.values() if s > -1e8) - 10.0  # user-defined runs of spaces have -1e9
         self.out = [b""] * len(ids)
         for p, (i, _) in self.pieces.items():
@@ -54,13 +59,26 @@ class Lattice:
             self.out[i] = bytes([b])
         splits = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.DOTALL) for p in self.pieces)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall if splits else (lambda s: [s])
-        #: The pieces as a trie: character -> (children, (ids, score) or None).
-        self.trie: dict = {}
+        #: The pieces as a trie in arrays: a table of the steps by the most frequent letters, and all the others sorted
+        #: by state and letter.  ``letter``: number of a character, the last one for those that no piece holds.
+        begin = {p[:k] for p in self.pieces for k in range(len(p) + 1)}
+        state = {p: k for k, p in enumerate(sorted(begin, key=lambda p: (len(p), p)))}
+        often = [c for c, _ in Counter(c for p in state for c in p[-1:]).most_common()]
+        self.letter = np.full(max(map(ord, often)) + 2, len(often), np.int32)
+        self.letter[[ord(c) for c in often]] = np.arange(len(often))
+        self.near = np.full((len(state), min(NEAR, len(often)) + 1), -1, np.int32)
+        steps = []
+        for p, k in state.items():
+            if p:
+                c = int(self.letter[ord(p[-1])])
+                if c < self.near.shape[1] - 1:
+                    self.near[state[p[:-1]], c] = k
+                else:
+                    steps.append((state[p[:-1]] * len(self.letter) + c, k))
+        self.step_key, self.step_state = np.array(sorted(steps) or [(-1, -1)], np.int64).T.copy()
+        self.state_piece, self.state_score = np.full(len(state), -1, np.int32), np.full(len(state), -np.inf)
         for p, (i, x) in self.pieces.items():
-            node = self.trie
-            for c in p[:-1]:
-                node = node.setdefault(c, [{}, None])[0]
-            node.setdefault(p[-1], [{}, None])[1] = ((i,), x)
+            self.state_piece[state[p]], self.state_score[state[p]] = i, x
         self.cache: dict[str, tuple] = {}
 
     def fallback(self, c: str) -> tuple[tuple[int, ...], float]:
@@ -69,63 +87,61 @@ class Lattice:
             return (self.unknown,), self.penalty
         return tuple(self.byte[b] for b in raw), self.penalty * len(raw)
 
-    def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """Per end position: (start, ids, score) of the pieces that end there."""
-        get, n = self.prefixes.get, len(s)
-        out: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                p = get(s[i:j])
-                if p is None:
-                    break
-                if p:
-                    out[j].append((i, p[0], p[1]))
-                    single |= j == i + 1
-            if not single:
-                out[i + 1].append((i, *self.fallback(s[i])))
+    def ending(self, s: str, j: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """(start, ids, score) of the pieces that end at position j, the longest first."""
+        get, out = self.whole.get, []
+        for i in range(max(0, j - self.longest), j):
+            p = get(s[i:j])
+            if p is not None:
+                out.append((i, p[0], p[1]))
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, *self.fallback(s[j - 1])))
         return out
 
     def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a stretch, best first; ties in the order of their ids from the end.
+        """The n best (score, ids) of a stretch, best first; equal ones in the order in which the search meets them.
 
         Backward A-star from the end with the forward scores: the estimate of a hypothesis is exact, so one is followed
         along its best edges to the start at once, and every edge passed by is the hypothesis of a whole segmentation
-        of known score.  Of those only the n best found so far are kept.
+        of known score.  Of those only the n best found so far are kept.  A hypothesis is a chain of back pointers, and
+        edges are looked up where the search passes, so that time and memory grow with the length of the stretch.
         """
-        edges = self.edges(s)
-        best, back = [0.0], [None]
-        for here in edges[1:]:
+        best, back = array("d", [0.0]), [None]
+        for j in range(1, len(s) + 1):
             top, at = None, None
-            for e in here:
+            for e in self.ending(s, j):
                 v = best[e[0]] + e[2]
                 if top is None or v > top:
                     top, at = v, e
             best.append(top)
             back.append(at)
-        heap: list = [(0.0, (), len(s))]
+        heap: list = [(0.0, 0, None, len(s))]
+        met = 0
         bounds = [float("inf")] * n  # losses of the n best known, ascending
         bounds[0] = 0.0
         out: list[tuple[float, tuple[int, ...]]] = []
         while heap and len(out) < n:
-            loss, ids, j = heappop(heap)
+            loss, _, chain, j = heappop(heap)
             if loss > bounds[-1]:
                 break
             while j:
                 e = back[j]
-                here = edges[j]
-                if len(here) > 1:
-                    top = best[j]
-                    for f in here:
-                        if f is not e:
-                            more = loss + top - best[f[0]] - f[2]
-                            if more <= bounds[-1]:
-                                insort(bounds, more)
-                                bounds.pop()
-                                heappush(heap, (more, f[1] + ids, f[0]))
-                ids = e[1] + ids
+                top = best[j]
+                for f in self.ending(s, j):
+                    if f[0] != e[0]:
+                        more = loss + top - best[f[0]] - f[2]
+                        if more <= bounds[-1]:
+                            insort(bounds, more)
+                            bounds.pop()
+                            met += 1
+                            heappush(heap, (more, met, (f[1], chain), f[0]))
+                chain = (e[1], chain)
                 j = e[0]
-            out.append((best[-1] - loss, ids))
+            ids = []
+            while chain is not None:
+                ids += chain[0]
+                chain = chain[1]
+            out.append((best[-1] - loss, tuple(ids)))
         return out
 
     def chunk(self, s: str) -> tuple[bytes, int, float, float]:
@@ -137,35 +153,20 @@ class Lattice:
         found = self.cache.get(s)
         if found is not None:
             return found
-        root, n, low = self.trie, len(s), float("-inf")
-        best, second, start, ids = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [()] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            base, node, j = best[i], root, i
-            for c in s[i:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                node, p = node
-                if p is not None:
-                    v = base + p[1]
-                    if v > best[j]:
-                        second[j] = best[j]
-                        best[j] = v
-                        start[j] = i
-                        ids[j] = p[0]
-                    elif v > second[j]:
-                        second[j] = v
-            c = root.get(s[i])
-            if c is None or c[1] is None:
-                p, w = self.fallback(s[i])
-                j, v = i + 1, base + w
-                if v > best[j]:
-                    second[j] = best[j]
-                    best[j], start[j], ids[j] = v, i, p
-                elif v > second[j]:
-                    second[j] = v
+        n, low = len(s), float("-inf")
+        best, second, start, ids = array("d", [0.0]), array("d", [low]), array("l", [0]), [()]
+        for j in range(1, n + 1):
+            top = other = low
+            for i, p, w in self.ending(s, j):
+                v = best[i] + w
+                if v > top:
+                    top, other, at, mine = v, top, i, p
+                elif v > other:
+                    other = v
+            best.append(top)
+            second.append(other)
+            start.append(at)
+            ids.append(mine)
         path, loss, j = [], -low, n
         while j:
             if best[j] - second[j] < loss:
@@ -174,12 +175,85 @@ class Lattice:
             j = start[j]
         flat = [x for p in reversed(path) for x in p]
         found = (array("i", flat).tobytes(), len(flat), best[n], loss)
-        if n <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+        if n <= SHORT:
             self.cache[s] = found
         return found
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Fills the cache for the short chunks of some texts, many at a time."""
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        cache, by = self.cache, {}
+        for c in set().union(*texts):
+            if c not in cache:
+                by.setdefault(len(c), []).append(c)
+        for n, group in by.items():
+            if n <= SHORT:
+                for i in range(0, len(group), max(1, WIDE // n)):
+                    self._learn(group[i : i + max(1, WIDE // n)], n)
+
+    def _learn(self, group: list[str], n: int) -> None:
+        """``chunk`` of chunks of one length, as array operations over all of them; those that need a fallback are
+        left to ``chunk``."""
+        m = len(group)
+        chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+        flat = self.letter[np.minimum(chars, len(self.letter) - 1)].T.ravel()  # position by position, all chunks of one
+        deep = min(n, self.longest)
+        score, piece = np.full((deep, n * m), -np.inf), np.full((deep, n * m), -1, np.int32)
+        at, state = np.arange(n * m), np.zeros(n * m, np.int32)
+        for d in range(deep):
+            if d:
+                fits = np.searchsorted(at, (n - d) * m)
+                at, state = at[:fits], state[:fits]
+            state = self._step(state, flat[at + d * m])
+            live = np.flatnonzero(state >= 0)
+            at, state = at[live], state[live]
+            if not len(at):
+                break
+            score[d, at] = self.state_score[state]
+            piece[d, at] = self.state_piece[state]
+        score, piece = score.reshape(deep, n, m), piece.reshape(deep, n, m)
+        whole = (piece[0] >= 0).all(axis=0)
+        best, second = np.zeros((n + 1, m)), np.full((n + 1, m), -np.inf)
+        start = np.zeros((n + 1, m), np.int64)
+        each = np.arange(m)
+        for j in range(1, n + 1):
+            first = max(0, j - deep)
+            into = np.stack([best[i] + score[j - i - 1, i] for i in range(first, j)])
+            at = into.argmax(axis=0)
+            best[j] = into[at, each]
+            start[j] = first + at
+            into[at, each] = -np.inf
+            second[j] = into.max(axis=0)
+        at, loss = np.full(m, n), np.full(m, np.inf)
+        steps = []
+        while True:
+            live = at > 0
+            if not live.any():
+                break
+            i = start[at, each]
+            with np.errstate(invalid="ignore"):
+                loss = np.where(live, np.minimum(loss, best[at, each] - second[at, each]), loss)
+            steps.append(np.where(live, piece[at - i - 1, i, each], -1))
+            at = np.where(live, i, 0)
+        ids = np.stack(steps, axis=1)[:, ::-1].astype(np.int32)
+        count = (ids >= 0).sum(axis=1)
+        raw, wide, cache = ids.tobytes(), 4 * ids.shape[1], self.cache
+        for k, (s, ok, c, b, x) in enumerate(zip(group, whole.tolist(), count.tolist(), best[n].tolist(), loss.tolist())):
+            if ok:
+                end = (k + 1) * wide
+                cache[s] = (raw[end - 4 * c : end], c, b, x)
+
+    def _step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states of the trie, -1 where there is none."""
+        out = self.near[state, np.minimum(letter, self.near.shape[1] - 1)]
+        far = np.flatnonzero(letter >= self.near.shape[1] - 1)
+        if len(far):
+            key = state[far].astype(np.int64) * len(self.letter) + letter[far]
+            at = np.searchsorted(self.step_key, key).clip(max=len(self.step_key) - 1)
+            out[far] = np.where(self.step_key[at] == key, self.step_state[at], -1)
+        return out
+
     def split(self, text: str | None) -> list[str]:
         return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -227,16 +301,22 @@ def nbest_encode(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str
 
     ``decode`` adds ``text``, made from each rank's ids as ``nbest_decode`` makes it, without a second pass.
     Null and empty texts have one segmentation without pieces and score 0.  A text has fewer rows than n where its
-    lattice holds fewer segmentations.  Equal scores are ordered by the chunk's search order, the same at any time.
+    lattice holds fewer segmentations.  Equal scores are ordered by the chunk's search order, the same at any time;
+    repeated rows come back as often as they stand, and columns other than the two named are ignored.  A null id stays.
+
+    Scores are those the model file gives its pieces, added up; text is taken as it is, without Unicode normalisation.
+    In a file of merge ranks (BPE) such a sum orders segmentations but is no log-likelihood, and its best one need not
+    be the one that merging gives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model)
         rows, size = [], 0
-        for f in batches:
-            for i, t in zip(f.column(0).to_pylist(), f.column(1)):
-                chunks = lat.split(t.as_py())
-                found = [lat.chunk(c) for c in chunks]
+        for texts in _lots(batches):
+            split = [lat.split(t) for _, t in texts]
+            lat.learn(split)
+            for (i, _), chunks in zip(texts, split):
+                found = list(map(lat.chunk, chunks))
                 best = [x[0] for x in found]
                 for r, (score, changes) in enumerate(lat.merge(chunks, found, n)):
                     parts = best
@@ -256,6 +336,20 @@ def nbest_encode(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str
     return rows.mapInArrow(run, "doc_id long, rank int, score double, ids array<int>" + (", text string" if decode else ""))
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str | None]]]:
+    """(id, text) of the rows, in lots of SPLIT characters or one row."""
+    lot, size = [], 0
+    for f in batches:
+        for i, t in zip(f.column(0).to_pylist(), f.column(1)):
+            lot.append((i, t.as_py()))
+            size += len(lot[-1][1] or "")
+            if size >= SPLIT:
+                yield lot
+                lot, size = [], 0
+    if lot:
+        yield lot
+
+
 def _batch(rows: list[tuple], out: list[bytes] | None) -> pa.RecordBatch:
     """Rows of ``nbest_encode``, with their texts where ``out``, the bytes of the pieces, is given."""
     i, r, score, raw = zip(*rows)
@@ -298,27 +392,3 @@ def nbest_decode(encoded: DataFrame, *, ids_col: str = "ids", text_col: str = "t
     kept = encoded.drop(text_col)
     rows = kept.select("*", F.col(f"`{ids_col}`").cast("array<int>").alias("__ids"))
     return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
-
-
-def nbest_digest(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document, without its ids: ``doc_id, n_chunks, n_pieces, best_score, scores, ids_sha256, second, round_trip``.
-
-    scores: of the n best; second: how the second differs, as chunk:ids; round_trip: decoding the best gives the text.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lat = lattice(model)
-        for f in frames:
-            rows = []
-            for i, t in zip(f["id"], f["text"]):
-                chunks = lat.split(t)
-                found = list(map(lat.chunk, chunks))
-                best = lat.merge(chunks, found, n)
-                raw = b"".join(map(itemgetter(0), found))
-                second = ";".join(f"{c}:{'-'.join(map(str, ids))}" for c, ids in best[1][1]) if len(best) > 1 else None
-                ids = np.frombuffer(raw, np.int32)
-                rows.append((i, len(found), len(ids), best[0][0], [s for s, _ in best], hashlib.sha256(raw).hexdigest(), second, lat.decode(ids.tolist()) == (t or "")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chunks", "n_pieces", "best_score", "scores", "ids_sha256", "second", "round_trip"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_chunks long, n_pieces long, best_score double, scores array<double>, ids_sha256 string, second string, round_trip boolean")
