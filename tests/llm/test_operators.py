@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import time
 
 import duckdb
@@ -363,6 +364,64 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def brute_license(text):
+    """base places, labels and score of a text, by plain loops over words."""
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    base = sorted((i, label) for phrase, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.encode().split())
+    labels, best = {x for _, x in base}, 1.0 if base else 0.0
+    for label, notice in license_scan.NOTICES:
+        n = re.findall(rb"[0-9a-z]+", notice.encode().lower())
+        size = len(n) - 2
+        hits = [(i, j) for i in range(len(w) - 2) for j in range(size) if w[i : i + 3] == n[j : j + 3]]
+        diagonals = sorted({i - j for i, j in hits})
+        groups = []
+        for d in diagonals:
+            if groups and d - groups[-1][-1] <= 4:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            mine = [(i, j) for i, j in hits if i - j in g]
+            places = sorted({i for i, _ in mine})
+            runs = [(lo, hi) for lo in places for hi in places if 0 <= hi - lo < max(1.5 * size, size + 1)]
+            shares = [len({j for i, j in mine if lo <= i <= hi}) / size for lo, hi in runs]
+            if max(shares) >= 0.6:
+                labels.add(label)
+                best = max(best, max(shares))
+    return len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best
+
+
+def test_licenses_brute_force(spark):
+    """Random texts of notices, pieces of them and other words, with null and repeated ids."""
+    rng = random.Random(5)
+    words = [x for _, t in license_scan.NOTICES for x in t.split()]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            n = rng.choice(license_scan.NOTICES)[1].split()
+            kind = rng.random()
+            if kind < 0.4:
+                del n[rng.randrange(len(n)) :]
+            elif kind < 0.6:
+                n.insert(rng.randrange(len(n)), rng.choice(words))
+            parts += n + [rng.choice(words + ["é", "x"]) for _ in range(rng.randint(0, 5))]
+        texts.append(rng.choice([" ", "  ", ", "]).join(parts))
+    rows = [(rng.choice([None, 1, 2, 3]), t) for t in texts] + [(1, texts[0]), (1, texts[0]), (None, None), (None, "")]
+    out = license_scan.scan_licenses(docs(spark, rows)).toPandas()
+    none = lambda x: None if x is None or x != x else int(x)
+    got = sorted(str((none(d.doc_id), d.n_words, d.n_base, none(d.first_word), none(d.last_word), d.base_labels, d.labels, round(d.score, 9))) for d in out.itertuples())
+    want = [(i, brute_license(t)) for i, t in rows]
+    assert got == sorted(str((i, *x[:-1], round(x[-1], 9))) for i, x in want)
+
+
+def test_license_rows_vote_apart(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    other = " ".join(f"w{i}" for i in range(len(license_scan.words_of(notice))))
+    out = license_scan.scan_licenses(docs(spark, [(5, notice), (5, other), (None, notice), (None, other)])).toPandas()
+    assert sorted(out.labels) == ["", "", "mit", "mit"] and sorted(out.score) == [0, 0, 1, 1]
+
+
 def test_license_repeats(spark):
     cases = [(label, text, gap) for label, text in license_scan.NOTICES for gap in (0, 1)]
     apache = "Licensed under the Apache License, Version 2.0"

@@ -70,31 +70,39 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         p = f" {phrase} ".encode()
-        at = joined.find(p)
+        at, last, word = joined.find(p), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", last, at)
+            last = at
+            out.append((word, label))
             at = joined.find(p, at + 1)
     return sorted(out)
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = np.array(sorted({x for _, text in NOTICES for x in grams(words_of(text)).tolist()}), np.int64)
     for f in frames:
         rows = []
         for i, t in zip(f["id"], f["text"]):
             w = words_of(t)
-            found = phrase_places(w)
-            rows.append((i, len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})), np.concatenate([[MARK], grams(w)])))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"])
+            found, g = phrase_places(w), grams(w)
+            met = np.flatnonzero(known[np.searchsorted(known, g).clip(max=len(known) - 1)] == g).tolist()
+            rows.append((
+                i, xxhash.xxh3_128_digest(b" ".join(w)), len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})),
+                np.concatenate([[MARK], g]), met, [b" ".join(w[k : k + K]).decode("utf-8", "surrogatepass") for k in met],
+            ))
+        out = pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams", "met", "words"])
         yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
 
 def notice_positions(spark: SparkSession) -> DataFrame:
-    """(gram, notice, at, size, label): a few hundred rows whatever the corpus."""
+    """(gram, said, notice, at, size, label): a few hundred rows whatever the corpus; said: the words themselves."""
     rows = []
     for k, (label, text) in enumerate(NOTICES):
-        g = grams(words_of(text))
-        rows += [(int(x), k, p, len(g), label) for p, x in enumerate(g)]
-    return spark.createDataFrame(rows, "gram long, notice int, at int, size int, label string")
+        w = words_of(text)
+        g = grams(w)
+        rows += [(int(x), b" ".join(w[p : p + K]).decode(), k, p, len(g), label) for p, x in enumerate(g)]
+    return spark.createDataFrame(rows, "gram long, said string, notice int, at int, size int, label string")
 
 
 def best_runs(size: int, votes: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
@@ -134,18 +142,24 @@ def _best_runs(size: pd.Series, diagonals: pd.Series, bits: pd.Series) -> pd.Ser
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``, one row per input row.
 
-    Every rolling k-gram of every whole text meets the notice positions in a broadcast join (their number is fixed);
-    hits vote for (document, notice, diagonal), diagonal = word of the document - word of the notice.  Neighbouring
+    Every rolling k-gram of every whole text meets the notice positions in a broadcast join (their number is fixed).  A
+    hit is verified on its words, which travel beside the few k-grams whose hash a notice has.  Hits
+    vote for (document, notice, diagonal), diagonal = word of the document - word of the notice.  Neighbouring
     diagonals merge; a merged span counts if it holds LEAST of the notice's distinct k-grams in at most STRETCH times
-    its length.  A longer one (copies close together, fragments beside a copy) is cut into the runs that do.  ``score``: best share of a notice found, 1 where a base phrase stands.  Null and empty texts have no
-    words and score 0; repeated rows come back as often as they stand.  Other columns are ignored.
+    its length.  A longer one (copies close together, fragments beside a copy) is cut into the runs that do.  ``score``: best share of a notice found, 1 where a base phrase stands.
+
+    A document is its id and its words: rows with a null id, or with one id and different texts, vote apart.  Null and
+    empty texts have no words and score 0; repeated rows come back as often as they stand.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels"]
-    found = rows.mapInPandas(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>")
-    keys = ["doc_id", *own]
-    hits = found.select(*keys, F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(notice_positions(docs.sparkSession)), "gram", "left")
-    hits = hits.withColumn("pos", F.col("pos") - 1)
+    found = rows.mapInPandas(_scan, "doc_id long, text_key binary, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>, met array<int>, words array<string>")
+    keys = ["doc_id", "text_key", *own]
+    hits = found.select(*keys, "met", "words", F.posexplode("grams").alias("pos", "gram")).withColumn("pos", F.col("pos") - 1)
+    hits = hits.join(F.broadcast(notice_positions(docs.sparkSession)), "gram", "left")
+    said = F.try_element_at("words", F.array_position("met", F.col("pos").cast("int")).cast("int"))
+    # the mark, at -1, meets no notice: it stands for the row itself
+    hits = hits.where((F.col("pos") < 0) | (F.col("said") == F.when(F.col("said").isNotNull(), said)))
     votes = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*keys, "notice", "size", "label", "diagonal").agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_if(F.col("pos") < 0).alias("copies")
     )
