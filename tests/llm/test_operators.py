@@ -249,11 +249,29 @@ def test_exact_dedup(spark):
         assert len(out) == len(EDGE) + 300 and set(hot.group_size) == {300} and set(hot.keep_id) == {100 if keep == "smallest" else 399} and hot.kept.sum() == 1
         empty = out[out.doc_id.isin([1, 2])]
         assert set(empty.group_size) == {2} and out[out.doc_id == 6].group_size.tolist() == [3, 3]
+        assert out[out.doc_id.isna()].kept.tolist() == [True]
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+    mixed = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(spark, [(None, "x"), (4, "x"), (None, "y"), (None, "y")]), keep="largest", run_rows=1).collect()}
+    assert mixed == {(None, 4, 2, False), (4, 4, 2, True), (None, None, 2, True)}
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(df, keep="first")
 
 
+def test_exact_dedup_runs(spark):
+    """Runs are merged by sorting, hold a digest once, and fall to half their number with every round."""
+    df = docs(spark, [(i, f"text {i % 40}") for i in range(400)])
+    rows = exact_dedup.digest_records(df).withColumn("run", F.pmod(F.xxhash64("at"), F.lit(8)).cast("int"))
+    level = exact_dedup.leaf_runs(rows, "smallest")
+    for bit in range(3):
+        seen = level.toPandas()
+        assert not seen.duplicated(["run", "sha"]).any() and seen.n.sum() == 400 and set(seen.run) == set(range(0, 8, 1 << bit))
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" in plan and "HashAggregate" not in plan.replace("ObjectHash", "")
+        level = exact_dedup.merge_round(level, bit, "smallest")
+    last = level.toPandas()
+    assert set(last.run) == {0} and sorted(last.keep) == list(range(40)) and set(last.n) == {10}
+
+
 # chats
 
 

@@ -1,14 +1,15 @@
-"""Exact dedup by a tree-merge of digest runs (DataFrame functions only).
+"""Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
 
-Hash aggregation stands in for sorted runs: no run is sorted or merged on an order.
+Leaves: every row falls into one of ``runs`` runs by its place in the staged table, so that copies of one text, rows of
+one id and rows without an id are spread over all of them.  A run is sorted by digest and holds one record per digest:
+smallest or largest id, row count.  Rounds are binomial: in round r the runs whose bit r is set send their records to
+the run with that bit cleared, where sorted segments meet in a multiway merge (sort-based aggregation: every sender's
+segment is sorted and combined before it is sent, the receiver merges the segments in digest order and folds neighbours
+of equal digest).  After log2(runs) rounds run 0 holds one record per digest.  A run is no task: each is spread over
+hash slices of the digest, which are sorted on their own.
 
-Leaves: every row falls into one of ``runs`` digest runs by a hash of its id and is reduced, map side first, to one
-record per (run, digest): smallest or largest id, row count.  A run is range-free: it is spread over hash slices of
-the digest, so a run of any size is never one task.  Rounds: runs whose number differs only in
-the lowest ``bits`` bits send their records to the one with those bits cleared (a binomial tree with 2**bits
-children a node), where equal digests merge.  After log(runs)/bits rounds one record per digest is left.
-The result then walks down the same tree: at each level a record meets at most 2**bits children, so even a text
-that makes up a third of all rows is never joined in one task.
+The result walks down the same tree: at each level a record meets the two runs it came from, so a text that makes up a
+third of all rows is never joined in one task: a leaf run holds about RUN_ROWS rows, whatever their texts.
 
 Verification at every level: the merge key is SHA-256, byte length and a second 64-bit hash of another family, so
 records merge only where all three agree.
@@ -16,45 +17,50 @@ records merge only where all three agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salt_of, stage, text_or_empty
+from .common import stage, text_or_empty
 
 KEY = ["sha", "size", "check"]
+#: Rows of a leaf run on average; a table has so many runs that this holds, 8 at least, a power of two.
+RUN_ROWS = 4_000_000
 
 
-def digest_records(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, run, sha, size, check) of each row; a null text is the empty one, a null id is kept as null."""
+def digest_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, at, sha, size, check) of each row; a null text is the empty one, a null id is kept as null."""
     text = text_or_empty(text_col)
     return docs.select(
         F.col(id_col).alias("id"),
-        salt_of(id_col, salts=runs).alias("run"),
+        F.monotonically_increasing_id().alias("at"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
         F.octet_length(text).alias("size"),
         F.xxhash64(text).alias("check"),
     )
 
 
-def merge_round(records: DataFrame, bits: int, keep: str) -> DataFrame:
-    """One round: children send their runs to the parent, which keeps one record per digest."""
+def _merge(records: DataFrame, keep: Column, n: Column) -> DataFrame:
+    """One record per run and digest.  The id is picked inside a struct, which has no fixed place in an aggregation
+    buffer: so Spark aggregates by sorting, on the senders' side as well as on the receivers'."""
+    return records.groupBy("run", *KEY).agg(keep.alias("keep"), n.alias("n")).select("run", *KEY, F.col("keep.id").alias("keep"), "n")
+
+
+def leaf_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """Sorted runs of (run, sha, size, check, keep, n) of the rows."""
     pick = F.max if keep == "largest" else F.min
-    return (
-        records.withColumn("run", F.shiftright("run", bits))
-        .groupBy("run", *KEY)
-        .agg(pick("keep").alias("keep"), F.sum("n").alias("n"))
-    )
+    # null ids come last for the smallest, first for the largest: they never win against others
+    known = F.when(F.col("id").isNotNull(), F.struct("id"))
+    return _merge(rows, pick(known), F.count(F.lit(1)))
 
 
-def exact_dedup(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: str = "smallest",
-    runs: int = 64,
-    bits: int = 3,
-) -> DataFrame:
+def merge_round(records: DataFrame, bit: int, keep: str) -> DataFrame:
+    """One round: runs with ``bit`` set send theirs to the run with it cleared; one record per digest is left there."""
+    pick = F.max if keep == "largest" else F.min
+    known = F.when(F.col("keep").isNotNull(), F.struct(F.col("keep").alias("id")))
+    return _merge(records.withColumn("run", F.col("run").bitwiseAND(~(1 << bit))), pick(known), F.sum("n"))
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", run_rows: int = RUN_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep``: which id of equal texts stays, "smallest" or "largest".  Null texts count as empty and equal one
@@ -65,17 +71,16 @@ def exact_dedup(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep!r}")
-    pick = F.max if keep == "largest" else F.min
-    rows = stage(digest_records(docs, runs, id_col, text_col), "exact_rows")
-    levels = [stage(rows.groupBy("run", *KEY).agg(pick("id").alias("keep"), F.count(F.lit(1)).alias("n")), "exact_run")]
-    left = runs
-    while left > 1:
-        levels.append(stage(merge_round(levels[-1], bits, keep), "exact_run"))
-        left = -(-left // (1 << bits))
+    rows = stage(digest_records(docs, id_col, text_col), "exact_rows")
+    bits = max(3, (max(1, rows.count()) // run_rows).bit_length())
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("at"), F.lit(1 << bits)).cast("int")).drop("at")
+    levels = [stage(leaf_runs(rows, keep), "exact_run")]
+    for bit in range(bits):
+        levels.append(stage(merge_round(levels[-1], bit, keep), "exact_run"))
     down = levels.pop()
-    while levels:
+    for bit in reversed(range(bits)):
         child = levels.pop().select(F.col("run").alias("child"), *KEY)
-        child = child.withColumn("run", F.shiftright("child", bits))
+        child = child.withColumn("run", F.col("child").bitwiseAND(~(1 << bit)))
         down = child.join(down, ["run", *KEY]).select(F.col("child").alias("run"), *KEY, "keep", "n")
     return rows.join(down, ["run", *KEY]).select(
         F.col("id").alias("doc_id"),
