@@ -351,6 +351,73 @@ def test_gif_disposal_and_transparency():
     assert gif.histogram(shown[1]).sum() == 4 and gif.histogram(shown[2]).sum() == 1
 
 
+def slow_gif(data):
+    """(width, height, [(left, top, delay, disposal, transparent, pixels)]) by the book, for files with a global palette."""
+    w, h, at, frames = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), 13 + 3 * 256, []
+    palette = [tuple(data[13 + 3 * k : 16 + 3 * k]) for k in range(256)]
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            control = data[at + 3 : at + 7]
+            at += 8
+            continue
+        left, top, fw, fh = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
+        assert data[at + 9] == 0 and data[at + 10] == 8
+        at, body = at + 11, b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        bits = int.from_bytes(body, "little")
+        codes, width, n = [], 9, 258
+        while not codes or codes[-1] != 257:
+            codes.append(bits & ((1 << width) - 1))
+            bits >>= width
+            if codes[-1] == 256:
+                width, n = 9, 257
+            else:
+                n += 1
+                width = min(12, max(9, n.bit_length()))
+        pixels = slow_decode(codes, 8, fw * fh)
+        frames.append((left, top, control[1] | control[2] << 8, control[0] >> 2 & 7, control[3] if control[0] & 1 else None, [palette[x] for x in pixels], pixels))
+    return w, h, frames
+
+
+def test_gif_by_an_independent_decoder(spark):
+    texts = ["", "abc " * 40, "é😀" * 9, "the cat sat. " * 9000, random.Random(4).randbytes(9000).hex()]
+    for r in gif.text_media(docs(spark, list(enumerate(texts))), keep_media=True).collect():
+        raw = texts[r.doc_id].encode()
+        w, h, frames = slow_gif(r.media)
+        assert b"".join(f[-1] for f in frames) == raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        said, start = [f"{len(frames)}x{w}x{h}"], 0
+        screen = [None] * (w * h)
+        for left, top, delay, disposal, clear, colours, pixels in frames:
+            screen[: len(colours)] = colours
+            hist = [0] * 64
+            for c in screen:
+                if c:
+                    hist[(c[0] >> 6) * 16 + (c[1] >> 6) * 4 + (c[2] >> 6)] += 1
+            best = sorted(range(64), key=lambda b: (-hist[b], b))[:4]
+            said.append(f"{start}+{delay}:{w}x{len(pixels) // w}@{left},{top}:d{disposal}:t{'-' if clear is None else clear}:c{sum(map(bool, hist))}:" + ",".join(f"{b}={hist[b]}" for b in best if hist[b]))
+            start += delay
+        assert r.feature == ";".join(said)
+
+
+def test_gif_hostile_files(spark):
+    good = gif.encode_gif([gif.Frame(0, 0, np.ones((4, 4), np.uint8), gif.default_palette())], 4, 4)
+    at = good.index(b"\x2c") + 10
+    size = good[:at] + b"\x28" + good[at + 1 :]  # minimum code size 40
+    huge = good[:6] + b"\xff" * 4 + good[10:]
+    frame = good[: at - 5] + b"\xff" * 4 + good[at - 1 :]
+    long = gif.encode_gif([gif.Frame(0, 0, np.ones((1, 1), np.uint8), gif.default_palette())], 1, 1)
+    rows = list(enumerate([size, huge, frame, good[:40], good[:-8], b"", long]))
+    out = {r.id: (r.frame, r.error) for r in gif.gif_frames(spark.createDataFrame(rows, "media_id long, data binary")).collect()}
+    assert all(out[k][0] == -1 and out[k][1] for k in range(6)) and out[6] == (0, None)
+    # a full table, whose entries are thousands of samples each, is expanded no further than the frame needs
+    grow = b"\x00" + b"a" * 9_000_000
+    codes = gif.lzw_encode(grow)
+    assert gif.lzw_decode(codes, 8, 1000) == grow[:1000]
+
+
 def test_gif_operators(spark):
     out = gif.text_media(docs(spark, [*EDGE, (9, "y" * 70_000)]), keep_media=True)
     for r in out.collect():
@@ -360,7 +427,7 @@ def test_gif_operators(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.media_bytes) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), len(r.media))
     media = out.where("doc_id = 9").select(F.col("doc_id").alias("media_id"), F.col("media").alias("data")).unionByName(spark.createDataFrame([(77, b"junk"), (78, None)], "media_id long, data binary"))
     rows = gif.gif_frames(media).orderBy("id", "frame").collect()
-    assert [(r.id, r.frame, r.start_cs) for r in rows] == [(9, 0, 0), (9, 1, 4), (77, -1, 0)] and rows[2].error
+    assert [(r.id, r.frame, r.start_cs) for r in rows] == [(9, 0, 0), (9, 1, 4), (77, -1, 0)] and rows[2].error and rows[0].disposal == 1 and rows[0].transparent is None
     assert gif.text_media(docs(spark, [])).count() == 0
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CLEAR, END, FIRST, MOST = 256, 257, 258, 4096
 #: Stored payloads: samples a row, rows a frame, and hundredths of a second a frame.
 WIDTH, HEIGHT, DELAY = 64, 1024, 4
+#: Pixels of a screen or a frame that are decoded at most: a file may state 65,535 x 65,535 in a few bytes.
+MAX_PIXELS = 1 << 26
 
 
 def _schedule(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,8 @@ def lzw_encode(data: bytes) -> bytes:
 
 def lzw_decode(data: bytes, size: int, most: int) -> bytes:
     """At most ``most`` samples of a code stream; tolerates late clear codes and streams that end early."""
+    if not 2 <= size <= 8:
+        raise ValueError(f"minimum code size {size}")
     clear, end = 1 << size, (1 << size) + 1
     widths, offsets = schedule(size)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
@@ -103,7 +107,7 @@ def lzw_decode(data: bytes, size: int, most: int) -> bytes:
             code, o, w = np.concatenate([code, more]), np.concatenate([o, tail]), np.concatenate([w, np.full(len(tail), 12)])
             stop = np.flatnonzero((code == clear) | (code == end))
         n = int(stop[0]) if len(stop) else len(code)
-        got = _expand(code[:n], clear)
+        got = _expand(code[:n], clear, most - have)
         out.append(got)
         have += len(got)
         if n == len(code) or code[n] == end:
@@ -123,8 +127,8 @@ def _read(bits: np.ndarray, at: np.ndarray, width: np.ndarray, size: int) -> np.
     return code
 
 
-def _expand(code: np.ndarray, clear: int) -> np.ndarray:
-    """The samples of the codes between two clear codes.
+def _expand(code: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The samples of the codes between two clear codes, as far as the code with which there are ``most`` of them.
 
     Entry clear + 2 + j is what code j gave and one sample more, so a code above the literals copies the output from
     where code j began.  Lengths and samples follow these references by pointer doubling.
@@ -147,6 +151,9 @@ def _expand(code: np.ndarray, clear: int) -> np.ndarray:
         to = to[to]
     length += 1
     start = np.cumsum(length) - length
+    if start[-1] >= most:
+        n = max(1, int(np.searchsorted(start, most)))
+        code, ref, copy, length, start = code[:n], ref[:n], copy[:n], length[:n], start[:n]
     total = int(start[-1] + length[-1])
     src = np.arange(total)
     src -= np.repeat(np.where(copy, start - start[np.where(copy, ref, 0)], 0), length)
@@ -194,12 +201,17 @@ def encode_gif(frames: list[Frame], width: int, height: int) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Screen width and height, and the stored frames (not yet composed)."""
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Screen width and height, and the stored frames (not yet composed).
+
+    ValueError or IndexError where the file breaks the format, or states a screen or frame of more than ``max_pixels``.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     two = lambda i: data[i] | data[i + 1] << 8
     width, height, flags, at = two(6), two(8), data[10], 13
+    if width * height > max_pixels:
+        raise ValueError(f"screen of {width} x {height}")
     palette = default_palette()
     if flags & 128:
         n = 2 << (flags & 7)
@@ -224,6 +236,8 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
         elif data[at] == 0x2C:
             left, top, w, h, flag = two(at + 1), two(at + 3), two(at + 5), two(at + 7), data[at + 9]
             at += 10
+            if w * h > max_pixels:
+                raise ValueError(f"frame of {w} x {h}")
             own = palette
             if flag & 128:
                 n = 2 << (flag & 7)
@@ -271,11 +285,22 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(p[:, 0].astype(int) << 4 | p[:, 1] << 2 | p[:, 2], minlength=64)
 
 
-def gif_frames(media: DataFrame, *, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
-    """One row per shown frame: ``id, frame, start_cs, delay_cs, width, height, histogram, error``.
+def shown_frames(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[tuple[int, Frame, np.ndarray]]:
+    """(start, frame, histogram of the composed screen) of every frame of a file, one at a time."""
+    w, h, found = decode_gif(data, max_pixels)
+    start = 0
+    for f, shown in zip(found, compose(w, h, found)):
+        yield start, f, histogram(shown)
+        start += f.delay
+
+
+def gif_frames(media: DataFrame, *, id_col: str = "media_id", data_col: str = "data", max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """One row per shown frame: ``id, frame, start_cs, delay_cs, width, height, disposal, transparent, histogram, error``.
 
-    A null media value has no rows; one that can't be decoded has a single row with frame -1 and the error.  Times are
-    hundredths of a second from the start.  Frames are composed one at a time, so memory is one screen and one file.
+    width, height: of the frame; histogram: 64 colours of the screen as it is shown.  A null media value has no rows;
+    one that can't be decoded, or whose screen or frames exceed ``max_pixels``, has a single row with frame -1 and the
+    error.  Times are hundredths of a second from the start.  Frames are composed one at a time.  Repeated rows and
+    ids come back as often as they stand; other columns are ignored.
     """
 
     def run(frames):
@@ -285,18 +310,19 @@ def gif_frames(media: DataFrame, *, id_col: str = "media_id", data_col: str = "d
                 if data is None:
                     continue
                 try:
-                    w, h, found = decode_gif(bytes(data))
-                    at = 0
-                    for k, (g, shown) in enumerate(zip(found, compose(w, h, found))):
-                        rows.append((i, k, at, g.delay, w, h, histogram(shown).tolist(), None))
-                        at += g.delay
+                    mine = [
+                        (i, k, at, g.delay, g.index.shape[1], g.index.shape[0], g.disposal, g.transparent, hist.tolist(), None)
+                        for k, (at, g, hist) in enumerate(shown_frames(bytes(data), max_pixels))
+                    ]
                 except (ValueError, IndexError) as e:
-                    rows.append((i, -1, 0, 0, 0, 0, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["id", "frame", "start_cs", "delay_cs", "width", "height", "histogram", "error"])
+                    mine = [(i, -1, 0, 0, 0, 0, None, None, None, str(e) or type(e).__name__)]
+                rows += mine
+            out = pd.DataFrame(rows, columns=["id", "frame", "start_cs", "delay_cs", "width", "height", "disposal", "transparent", "histogram", "error"])
+            yield out.astype({"disposal": "Int64", "transparent": "Int64"})
 
     rows = media.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, frame int, start_cs long, delay_cs int, width int, height int, histogram array<long>, error string")
+    return rows.mapInPandas(run, f"id {kind}, frame int, start_cs long, delay_cs int, width int, height int, disposal int, transparent int, histogram array<long>, error string")
 
 
 def store_payload(payload: bytes) -> bytes:
@@ -312,9 +338,10 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` (and ``media``
     where asked for).  Null texts are empty; an empty text is one row of 64 zero samples.  Equal texts give equal
-    values; other columns are ignored.  feature: frames, screen, playing time, and the most frequent of 64 colours.
+    values; other columns are ignored.  feature: frames and screen, then for each frame as it is composed and shown with
+    the palette that was read back: start+delay in hundredths, size@left,top, disposal, transparent index or -, number of
+    its colours, and the most frequent of 64.
     """
-    bins = (lambda p: (p[:, 0] >> 6).astype(int) << 4 | (p[:, 1] >> 6) << 2 | p[:, 2] >> 6)(default_palette())
 
     def run(frames):
         for f in frames:
@@ -323,12 +350,16 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
                 media = store_payload(payload)
-                w, h, found = decode_gif(media)
+                w, h, found = decode_gif(media, max(MAX_PIXELS, len(payload)))
                 back = b"".join(g.index.tobytes() for g in found)
-                hist = np.bincount(bins, weights=np.bincount(np.frombuffer(back, np.uint8), minlength=256), minlength=64).astype(int)
-                top = np.argsort(-hist, kind="stable")[:4]
-                feature = f"frames={len(found)};screen={w}x{h};cs={sum(g.delay for g in found)};colours={int((hist > 0).sum())};top=" + ",".join(f"{b}:{hist[b]}" for b in top if hist[b])
-                rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep_media else None))
+                said, start = [f"{len(found)}x{w}x{h}"], 0
+                for g, shown in zip(found, compose(w, h, found)):
+                    hist = histogram(shown)
+                    top = np.argsort(-hist, kind="stable")[:4].tolist()
+                    clear = "-" if g.transparent is None else g.transparent
+                    said.append(f"{start}+{g.delay}:{g.index.shape[1]}x{g.index.shape[0]}@{g.left},{g.top}:d{g.disposal}:t{clear}:c{int((hist > 0).sum())}:" + ",".join(f"{b}={hist[b]}" for b in top if hist[b]))
+                    start += g.delay
+                rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), ";".join(said), media if keep_media else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"])
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
