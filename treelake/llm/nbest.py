@@ -27,6 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct chunks a worker remembers.
 CACHE = 400_000
+#: Bytes of ids of remembered chunks from which on they are forgotten.
+HELD = 64_000_000
 #: Characters of a chunk up to which it is remembered and worked on together with others; characters of one such lot.
 SHORT, WIDE = 64, 1 << 15
 #: Letters whose steps in the trie are a table.
@@ -79,7 +81,25 @@ class Lattice:
         self.state_piece, self.state_score = np.full(len(state), -1, np.int32), np.full(len(state), -np.inf)
         for p, (i, x) in self.pieces.items():
             self.state_piece[state[p]], self.state_score[state[p]] = i, x
-        self.cache: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of chunks: ``cache`` numbers them, the others have what was found, by number."""
+        self.cache: dict[str, int] = {}
+        self.blobs: list[bytes] = []
+        self.scores, self.losses = np.empty(1 << 16), np.empty(1 << 16)
+        self.held = 0
+        self.several: dict[tuple[str, int], list] = {}
+
+    def _keep(self, blobs: list[bytes], scores: np.ndarray, losses: np.ndarray) -> int:
+        """Number of the first of these."""
+        k = len(self.blobs)
+        while k + len(blobs) > len(self.scores):
+            self.scores, self.losses = np.resize(self.scores, 2 * len(self.scores)), np.resize(self.losses, 2 * len(self.losses))
+        self.scores[k : k + len(blobs)], self.losses[k : k + len(blobs)] = scores, losses
+        self.blobs += blobs
+        self.held += sum(map(len, blobs))
+        return k
 
     def fallback(self, c: str) -> tuple[tuple[int, ...], float]:
         raw = c.encode("utf-8", "surrogatepass")
@@ -144,15 +164,12 @@ class Lattice:
             out.append((best[-1] - loss, tuple(ids)))
         return out
 
-    def chunk(self, s: str) -> tuple[bytes, int, float, float]:
-        """Cached: best ids as bytes, their number, best score, loss of the second best.
+    def chunk(self, s: str) -> tuple[bytes, float, float]:
+        """Best ids as bytes, best score, loss of the second best.
 
         One forward pass keeps the two best edges into every position; the second best segmentation leaves the best
         one at the place of least difference between them.
         """
-        found = self.cache.get(s)
-        if found is not None:
-            return found
         n, low = len(s), float("-inf")
         best, second, start, ids = array("d", [0.0]), array("d", [low]), array("l", [0]), [()]
         for j in range(1, n + 1):
@@ -174,19 +191,15 @@ class Lattice:
             path.append(ids[j])
             j = start[j]
         flat = [x for p in reversed(path) for x in p]
-        found = (array("i", flat).tobytes(), len(flat), best[n], loss)
-        if n <= SHORT:
-            self.cache[s] = found
-        return found
+        return array("i", flat).tobytes(), best[n], loss
 
     def learn(self, texts: list[list[str]]) -> None:
         """Fills the cache for the short chunks of some texts, many at a time."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        cache, by = self.cache, {}
-        for c in set().union(*texts):
-            if c not in cache:
-                by.setdefault(len(c), []).append(c)
+        if len(self.blobs) >= CACHE or self.held >= HELD:
+            self.forget()
+        by: dict[int, list[str]] = {}
+        for c in set().union(*texts).difference(self.cache):
+            by.setdefault(len(c), []).append(c)
         for n, group in by.items():
             if n <= SHORT:
                 for i in range(0, len(group), max(1, WIDE // n)):
@@ -238,11 +251,28 @@ class Lattice:
             at = np.where(live, i, 0)
         ids = np.stack(steps, axis=1)[:, ::-1].astype(np.int32)
         count = (ids >= 0).sum(axis=1)
-        raw, wide, cache = ids.tobytes(), 4 * ids.shape[1], self.cache
-        for k, (s, ok, c, b, x) in enumerate(zip(group, whole.tolist(), count.tolist(), best[n].tolist(), loss.tolist())):
-            if ok:
-                end = (k + 1) * wide
-                cache[s] = (raw[end - 4 * c : end], c, b, x)
+        raw, wide = ids.tobytes(), 4 * ids.shape[1]
+        good = np.flatnonzero(whole)
+        ends = (good + 1) * wide
+        blobs = [raw[i:j] for i, j in zip((ends - 4 * count[good]).tolist(), ends.tolist())]
+        k = self._keep(blobs, best[n][good], loss[good])
+        self.cache.update(zip([group[g] for g in good.tolist()], range(k, k + len(good))))
+
+    def numbers(self, chunks: list[str]) -> list[int]:
+        """Numbers of chunks in the memory, into which those that aren't there yet are put."""
+        out = list(map(self.cache.get, chunks))
+        if None in out:
+            for at, k in enumerate(out):
+                if k is None:
+                    c = chunks[at]
+                    k = self.cache.get(c)
+                    if k is None:
+                        raw, score, loss = self.chunk(c)
+                        k = self._keep([raw], score, loss)
+                        if len(c) <= SHORT:
+                            self.cache[c] = k
+                    out[at] = k
+        return out
 
     def _step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Next states of the trie, -1 where there is none."""
@@ -260,18 +290,22 @@ class Lattice:
     def encode(self, text: str | None, n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
         """The n best of a whole text: (score, changes against the best as (chunk, ids)); the first has no changes."""
         chunks = self.split(text)
-        return self.merge(chunks, [self.chunk(c) for c in chunks], n)
+        return self.merge(chunks, np.array(self.numbers(chunks), np.int64), n)
 
-    def merge(self, chunks: list[str], found: list, n: int):
+    def merge(self, chunks: list[str], numbers: np.ndarray, n: int):
         """n best of a text from its chunks.  Only the n - 1 chunks of least loss can differ from the best segmentation
         in the n best, so the search runs on those alone and their lists are merged."""
-        base = float(sum(map(itemgetter(2), found)))
-        losses = np.fromiter(map(itemgetter(3), found), np.float64, len(found))
-        at = _least(losses, min(n - 1, len(found)))
+        base = float(self.scores[numbers].sum())
+        losses = self.losses[numbers]
+        at = _least(losses, min(n - 1, len(losses)))
         lists = [(0.0, [])]
         for c in sorted(int(x) for x in at if np.isfinite(losses[x])):
-            options = self.nbest(chunks[c], n)
-            options = [(options[0][0] - g, ids) for g, ids in options]
+            options = self.several.get((chunks[c], n))
+            if options is None:
+                options = self.nbest(chunks[c], n)
+                options = [(options[0][0] - g, ids) for g, ids in options]
+                if len(chunks[c]) <= SHORT:
+                    self.several[chunks[c], n] = options
             lists = nsmallest(n, [(a + d, ch + ([(c, ids)] if o else [])) for a, ch in lists for o, (d, ids) in enumerate(options)], key=itemgetter(0))
         return [(base - loss, changes) for loss, changes in lists]
 
@@ -316,9 +350,9 @@ def nbest_encode(docs: DataFrame, *, n: int = 4, model: str = MODEL, id_col: str
             split = [lat.split(t) for _, t in texts]
             lat.learn(split)
             for (i, _), chunks in zip(texts, split):
-                found = list(map(lat.chunk, chunks))
-                best = [x[0] for x in found]
-                for r, (score, changes) in enumerate(lat.merge(chunks, found, n)):
+                found = lat.numbers(chunks)
+                best = list(map(lat.blobs.__getitem__, found))
+                for r, (score, changes) in enumerate(lat.merge(chunks, np.array(found, np.int64), n)):
                     parts = best
                     if changes:
                         parts = best.copy()
