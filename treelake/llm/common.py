@@ -76,6 +76,26 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def sample_labels(labels: DataFrame, label_col: str, fold: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``most`` (id, label, turn) rows of either class (0 and 1) whose id passes ``fold``; the same ones at any time.
+
+    Rows are picked by a hash of their id; rows of one id count once, with the larger label.  A class that is larger
+    is first thinned by that hash to little more than ``most``, so that no task sorts more than a few times as many.
+    """
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    one = one.groupBy("id").agg(F.max("label").alias("label")).where(fold).withColumn("pick", F.pmod(F.xxhash64(F.lit("pick"), "id"), F.lit(1 << 40)))
+    found = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def take(y: int) -> DataFrame:
+        mine, n = one.where(F.col("label") == y), found.get(y, 0)
+        if n > 2 * most:
+            mine = mine.where(F.col("pick") < int((1 << 40) * (most + 10 * most**0.5 + 100) / n))
+        return mine.orderBy("pick", "id").limit(most) if n > most else mine
+
+    # the order of training is drawn apart from the choice: a class cut by its picks would else come first
+    return take(0).unionByName(take(1)).select("id", "label", F.xxhash64(F.lit("turn"), "id").alias("turn"))
+
+
 #: ``attach`` broadcasts groups that hold more than 1/HOT_SHARE of all rows: HOT_SHARE rows at most, at any size.
 HOT_SHARE = 10_000
 

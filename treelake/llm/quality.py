@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Scope, sample_labels
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -19,6 +19,8 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP, _SYMBOL = [ord(c) for c in ".,;:?'\"-()"], [ord(c) for c in "#$%&*|<>{}[]\\^_~=+/@"]
 STATS = 16
+#: Most labelled rows of either class that a model is fitted on, chosen by a hash of their id.
+MAX_PER_CLASS = 50_000
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -66,19 +68,18 @@ class QdaModel:
         return 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -40, 40)))
 
 
-def fit_qda(count: np.ndarray, total: np.ndarray, square: np.ndarray, *, own: float = 0.3, ridge: float = 0.02) -> QdaModel:
-    """From per-class moments.  Covariance of a class: (1 - own) * its own + own * the pooled one, the whole shrunk by
-    ``ridge`` towards its diagonal and floored; a class without rows gets the pooled figures."""
-    n = np.maximum(count, 1.0)
-    mean = total / n[:, None]
-    cov = square / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
-    pooled = (cov * count[:, None, None]).sum(axis=0) / max(1.0, count.sum())
-    every = total.sum(axis=0) / max(1.0, count.sum())
+def fit_qda(count: np.ndarray, mean: np.ndarray, square: np.ndarray, *, own: float = 0.8, ridge: float = 0.005) -> QdaModel:
+    """From per-class counts, means and sums of squares about the means.  Covariance of a class: (1 - own) * its own +
+    own * the pooled one, the whole shrunk by ``ridge`` towards its diagonal and floored; a class without rows gets the
+    pooled figures."""
+    mean, every = mean.copy(), max(1.0, count.sum())
+    pooled, middle = square.sum(axis=0) / every, (mean * count[:, None]).sum(axis=0) / every
     inverse, logdet = [], []
     for k in (0, 1):
-        if count[k] < 2:
-            mean[k], cov[k] = (every if count[k] == 0 else mean[k]), pooled
-        s = (1 - own) * cov[k] + own * pooled
+        if count[k] == 0:
+            mean[k] = middle
+        cov = square[k] / count[k] if count[k] >= 2 else pooled
+        s = (1 - own) * cov + own * pooled
         s = (1 - ridge) * s + np.diag(ridge * np.diag(s) + 1e-5)
         low = np.linalg.cholesky(s)
         inverse.append(np.linalg.inv(low))
@@ -87,48 +88,70 @@ def fit_qda(count: np.ndarray, total: np.ndarray, square: np.ndarray, *, own: fl
     return QdaModel(prior, mean, np.array(inverse), np.array(logdet))
 
 
+def moments(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and sums of squares about the means of the classes 0 and 1, of rows in memory."""
+    count = np.array([(label == k).sum() for k in (0, 1)], float)
+    mean = np.array([x[label == k].mean(axis=0) if count[k] else np.zeros(x.shape[1]) for k in (0, 1)])
+    return count, mean, np.array([(x[label == k] - mean[k]).T @ (x[label == k] - mean[k]) for k in (0, 1)])
+
+
+def cross_validate(x: np.ndarray, label: np.ndarray, grid: list[dict], folds: int = 4) -> list[tuple[float, float, dict]]:
+    """(log loss, error rate, parameters) of every choice of ``grid``, best first, from training rows alone; every
+    folds-th row in turn is left out.  This is how the defaults of ``fit_qda`` were chosen."""
+    out, fold = [], np.arange(len(x)) % folds
+    for args in grid:
+        s = np.empty(len(x))
+        for k in range(folds):
+            s[fold == k] = fit_qda(*moments(x[fold != k], label[fold != k]), **args).score(x[fold == k])
+        out.append((float(-np.log(np.maximum(np.where(label == 1, s, 1 - s), 1e-17)).mean()), float(((s >= 0.5) != label).mean()), args))
+    return sorted(out, key=lambda r: r[:2])
+
+
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"id": f["id"], "x": [statistics(t).tobytes() for t in f["text"]]})
+        yield pd.DataFrame({"label": f["label"], "x": [statistics(t).tobytes() for t in f["text"]]})
+
 
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.float64).reshape(-1, STATS)
 
-def _moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for y, g in f.groupby("label"):
-            x = np.frombuffer(b"".join(g["x"]), np.float64).reshape(-1, STATS)
-            yield pd.DataFrame({"label": [y], "n": [len(x)], "s": [x.sum(axis=0)], "q": [(x.T @ x).ravel()]})
+            yield pd.DataFrame({"label": [y], "n": [len(g)], "v": [_matrix(g["x"]).sum(axis=0)]})
 
 
-def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged (id, x): the statistics of every whole text, computed once for fitting and scoring."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stage(rows.mapInPandas(_extract, "id long, x binary"), "statistics")
+def _squares(mean: np.ndarray):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for y, g in f.groupby("label"):
+                x = _matrix(g["x"]) - mean[y]
+                yield pd.DataFrame({"label": [y], "n": [len(g)], "v": [(x.T @ x).ravel()]})
 
+    return run
 
-def train_quality(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", fold: str = "crc32(cast(id as string)) % 3 <> 1", id_col: str = "doc_id") -> QdaModel:
-    """Class moments over all labelled rows of the fold; only sums (a few hundred numbers a task) leave a task."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    one = one.groupBy("id").agg(F.max("label").alias("label")).where(fold)
-    parts = stats.join(one, "id").select("label", "x").mapInPandas(_moments, "label int, n long, s array<double>, q array<double>")
-    add = lambda c, k: [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(k)]
-    count, total, square = np.zeros(2), np.zeros((2, STATS)), np.zeros((2, STATS, STATS))
-    for r in parts.groupBy("label").agg(F.sum("n").alias("n"), *add("s", STATS), *add("q", STATS * STATS)).collect():
-        count[r["label"]] = r["n"]
-        total[r["label"]] = r[2 : 2 + STATS]
-        square[r["label"]] = np.array(r[2 + STATS :]).reshape(STATS, STATS)
-    return fit_qda(count, total, square)
 
+def train_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fold: str = "crc32(cast(id as string)) % 3 <> 1", max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> QdaModel:
+    """Class moments of the labelled documents of the fold, ``max_per_class`` of either class at most, whose ids are broadcast.
 
-def score_quality(stats: DataFrame, model: QdaModel) -> DataFrame:
-    """(id, quality_score) of the staged statistics; one row per row of ``stats``."""
+    Two passes over their staged statistics, means first and then squares about them; only sums (a few hundred numbers
+    a task) leave a task.
+    """
+    count, mean, square = np.zeros(2), np.zeros((2, STATS)), np.zeros((2, STATS, STATS))
+    with Scope() as scope:
+        ids = scope.stage(sample_labels(labels, label_col, fold, max_per_class).select("id", "label"), "train_ids")
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+        rows = scope.stage(rows.mapInPandas(_extract, "label int, x binary"), "statistics")
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                x = np.frombuffer(b"".join(f["x"]), np.float64).reshape(-1, STATS)
-                yield pd.DataFrame({"id": f["id"], "quality_score": model.score(x)})
+        def total(parts, k: int) -> list:
+            return rows.mapInPandas(parts, "label int, n long, v array<double>").groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(k)]).collect()
 
-    return stats.mapInPandas(run, "id long, quality_score double")
+        for r in total(_sums, STATS):
+            count[r["label"]], mean[r["label"]] = r["n"], np.array(r[2:]) / r["n"]
+        for r in total(_squares(mean), STATS * STATS):
+            square[r["label"]] = np.array(r[2:]).reshape(STATS, STATS)
+    return fit_qda(count, mean, square)
 
 
 def add_quality(docs: DataFrame, model: QdaModel, *, text_col: str = "text") -> DataFrame:

@@ -38,9 +38,9 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality.document_statistics(_table(spark, sf_dir, "documents"))
-    model = quality.train_quality(stats, _table(spark, sf_dir, "labels"))
-    return _scored(quality.score_quality(stats, model).withColumnRenamed("id", "doc_id"), "quality_score", "crc32(cast(doc_id as string)) % 3 = 1")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_quality(docs, _table(spark, sf_dir, "labels"))
+    return _scored(quality.add_quality(docs, model).drop("text"), "quality_score", "crc32(cast(doc_id as string)) % 3 = 1")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
