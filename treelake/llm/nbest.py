@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: How a model file writes a space.  Here a space stands for itself, which keeps plain text one byte a character.
 SPACE = "▁"
 #: Distinct chunks a worker remembers.
 CACHE = 400_000
@@ -48,7 +49,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         usable = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in usable if sp.id_to_piece(i)}
+        self.pieces = {sp.id_to_piece(i).replace(SPACE, " "): (i, sp.get_score(i)) for i in usable if sp.id_to_piece(i)}
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.whole = {p: ((i,), x) for p, (i, x) in self.pieces.items()}
@@ -56,11 +57,11 @@ class Lattice:
         self.penalty = min(s for _, s in self.pieces.values() if s > -1e8) - 10.0  # user-defined runs of spaces have -1e9
         self.out = [b""] * len(ids)
         for p, (i, _) in self.pieces.items():
-            self.out[i] = p.replace(SPACE, " ").encode()
+            self.out[i] = p.encode()
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
-        splits = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.DOTALL) for p in self.pieces)
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall if splits else (lambda s: [s])
+        splits = not any(re.search("[^ ] |.\n|\n.", p, re.DOTALL) for p in self.pieces)
+        self.chunks = re.compile(" *[^ \n]+| +|\n").findall if splits else (lambda s: [s])
         #: The pieces as a trie in arrays: a table of the steps by the most frequent letters, and all the others sorted
         #: by state and letter.  ``letter``: number of a character, the last one for those that no piece holds.
         begin = {p[:k] for p in self.pieces for k in range(len(p) + 1)}
@@ -285,7 +286,7 @@ class Lattice:
         return out
 
     def split(self, text: str | None) -> list[str]:
-        return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.chunks(" " + text.replace(SPACE, " ")) if text else []
 
     def encode(self, text: str | None, n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
         """The n best of a whole text: (score, changes against the best as (chunk, ids)); the first has no changes."""
