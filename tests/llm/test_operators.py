@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from treelake.llm import chat, exact_dedup, gif, license_scan, line_dedup, minhash, nbest, packing, quality, queries, toxicity
+from treelake.llm import chat, common, exact_dedup, gif, license_scan, line_dedup, minhash, nbest, packing, quality, queries, toxicity
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -144,14 +145,76 @@ def test_classifier_edges(spark):
     m = toxicity.train_toxicity(df, labels)
     out = toxicity.score_toxicity(df, m).toPandas()
     assert len(out) == 40 and out.toxicity.between(0, 1).all() and out.toxicity[out.text == ""].iloc[0] == pytest.approx(toxicity.sigmoid(m.bias))
-    stats = quality.document_statistics(df)
-    q = quality.score_quality(stats, quality.train_quality(stats, labels)).toPandas()
+    q = quality.add_quality(df.withColumn("quality_score", F.lit("clash")), quality.train_quality(df, labels)).toPandas()
     assert len(q) == 40 and q.quality_score.between(0, 1).all()
     empty = docs(spark, [])
     none = docs(spark, [], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(empty, toxicity.train_toxicity(empty, none)).count() == 0
-    s = quality.document_statistics(empty)
-    assert quality.score_quality(s, quality.train_quality(s, none)).count() == 0
+    assert quality.add_quality(empty, quality.train_quality(empty, none)).count() == 0
+    one_class = docs(spark, [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.add_quality(df, quality.train_quality(df, one_class)).toPandas().quality_score.between(0, 1).all()
+
+
+def slow_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal by coordinate, as published: z, n and weights in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        a, b = z.get(i, 0.0), n.get(i, 0.0)
+        first, second = (l1, l2) if i != "bias" else (0.0, 0.0)
+        return 0.0 if abs(a) <= first else -(a - math.copysign(first, a)) / ((beta + math.sqrt(b)) / alpha + second)
+
+    for _ in range(epochs):
+        for y, x in rows:
+            w = {i: weight(i) for i in [*x, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, v in w.items():
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - step * v
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_brute_force():
+    rng = np.random.default_rng(3)
+    rows = [(int(y), np.unique(rng.integers(0, 60, 12) + 30 * y).astype(np.uint32)) for y in rng.integers(0, 2, 80)]
+    for args in ({"alpha": 0.5, "beta": 1.0, "l1": 1.0, "l2": 0.5, "epochs": 3}, {"alpha": 0.1, "beta": 0.5, "l1": 0.0, "l2": 2.0, "epochs": 2}):
+        got, want = toxicity.fit_ftrl(rows, **args), slow_ftrl([(y, x.tolist()) for y, x in rows], **args)
+        assert got.bias == pytest.approx(want.pop("bias"))
+        assert dict(zip(got.index.tolist(), got.weight.tolist())) == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-5)
+
+
+def test_qda_brute_force(spark):
+    """Model and scores against direct formulas: means, np.cov, shrinkage, inverse and determinant."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["Alpha", "beta!", "9", "c.", "of"][k % 2 :]) for _ in range(rng.randint(1, 60))) for k in range(120)]
+    rows = list(enumerate(texts))
+    labels = docs(spark, [(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    df = docs(spark, rows)
+    m = quality.train_quality(df, labels, fold="id < 90")
+    x = np.array([quality.statistics(t) for t in texts])
+    count, covs, means = [45, 45], [], []
+    for k in (0, 1):
+        mine = x[k:90:2]
+        means.append(mine.mean(axis=0))
+        covs.append(np.cov(mine.T, bias=True))
+    pooled, dens = (covs[0] + covs[1]) / 2, []
+    for k in (0, 1):
+        c = 0.2 * covs[k] + 0.8 * pooled
+        c = 0.995 * c + 0.005 * np.diag(np.diag(c)) + 1e-5 * np.eye(len(c))
+        d = x - means[k]
+        dens.append(np.log(46 / 92) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    want = 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -40, 40)))
+    got = quality.add_quality(df, m).orderBy("doc_id").toPandas().quality_score
+    assert got.to_numpy() == pytest.approx(want, abs=1e-6) and count == m.prior.shape[0] * [45]
+
+
+def test_sample_labels_are_the_least_picks(spark):
+    labels = docs(spark, [(i, int(i % 3 == 0)) for i in range(3000)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    few = {(r.id, r.label) for r in common.sample_labels(labels, "toxic", "id % 2 = 0", 100).collect()}
+    every = common.sample_labels(labels, "toxic", "id % 2 = 0", 10_000).withColumn("pick", F.pmod(F.xxhash64(F.lit("pick"), "id"), F.lit(1 << 40))).toPandas()
+    want = every.sort_values("pick").groupby("label").head(100)
+    assert few == set(zip(want.id, want.label)) and len(few) == 200 and len(every) == 1500
 
 
 def test_ftrl_is_sparse():
@@ -545,7 +608,7 @@ TEXTS = ["hello", "the cat", "  two  spaces", "é😀 x\ny", "aaaaaa", "Thestion
 @pytest.mark.parametrize("text", TEXTS)
 def test_nbest_brute_force(text):
     lat = nbest.lattice(nbest.MODEL)
-    whole = nbest.SPACE + text.replace(" ", nbest.SPACE)
+    whole = " " + text
     edges = [[]] + [lat.ending(whole, j) for j in range(1, len(whole) + 1)]
     assert [{(i, w) for i, _, w in e} for e in edges] == slow_edges(lat, whole)
     want = sorted((s for s, _ in all_paths(edges, len(whole))), reverse=True)[:5]
@@ -563,7 +626,7 @@ def test_nbest_brute_force(text):
 def slow_edges(lat, s):
     """(start, score) of the pieces by end, from the model's own list; a character without a piece costs its bytes."""
     sp = sentencepiece.SentencePieceProcessor(model_file=nbest.MODEL)
-    usable = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    usable = {sp.id_to_piece(i).replace(nbest.SPACE, " "): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
     out = [set() for _ in range(len(s) + 1)]
     for i, j in itertools.combinations(range(len(s) + 1), 2):
         if s[i:j] in usable:
@@ -577,7 +640,7 @@ def test_nbest_rank_0_is_a_plain_viterbi(spark):
     lat = nbest.lattice(nbest.MODEL)
     rows = [t for t in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).toPandas().text if t]
     for text in rows:
-        s = nbest.SPACE + text[:1500].replace(" ", nbest.SPACE)
+        s = " " + text[:1500]
         best = [0.0]
         for e in slow_edges_by_end(lat, s):
             best.append(max(best[i] + w for i, w in e))
@@ -593,7 +656,7 @@ def slow_edges_by_end(lat, s):
 def test_nbest_learns_many_chunks_as_one():
     """The cache filled by arrays holds what one chunk at a time gives, ties included."""
     lat, rng = nbest.Lattice(nbest.MODEL), random.Random(1)
-    chunks = [nbest.SPACE + "".join(rng.choices("theandiouxzé世.,A1", k=rng.randint(1, 70))) for _ in range(3000)] + list(lat.pieces)[5000:7000] + ["😀", "a😀", "\ud800"]
+    chunks = [" " + "".join(rng.choices("theandiouxzé世.,A1", k=rng.randint(1, 70))) for _ in range(3000)] + list(lat.pieces)[5000:7000] + ["😀", "a😀", "\ud800"]
     lat.learn([chunks[:1500], chunks[1500:]])
     assert len(lat.cache) > 4000
     assert all(lat.chunk(c) == (lat.blobs[k], lat.scores[k], lat.losses[k]) for c, k in zip(chunks, lat.numbers(chunks)))
@@ -663,10 +726,9 @@ def test_pipeline_stages(spark):
 
     start = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    stats = quality.document_statistics(start)
-    good = quality.score_quality(stats, quality.train_quality(stats, labels)).where("quality_score >= 0.5").toPandas()
+    good = quality.add_quality(start, quality.train_quality(start, labels)).where("quality_score >= 0.5").toPandas()
     kept = cp.stage(cp.keep_quality(spark, start, SMALL), "t")
-    assert kept.columns == start.columns and {r.doc_id for r in kept.collect()} == set(good.id)
+    assert kept.columns == start.columns and {r.doc_id for r in kept.collect()} == set(good.doc_id)
     clean = cp.stage(cp.keep_clean(spark, kept, SMALL), "t")
     scored = toxicity.score_toxicity(kept, toxicity.train_toxicity(kept, labels)).where("toxicity < 0.5")
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scored.select("doc_id").collect()}
