@@ -21,8 +21,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good (score >= 0.5)."""
-    stats = quality.document_statistics(docs)
-    model = quality.train_quality(stats, _labels(spark, sf_dir))
+    model = quality.train_quality(docs, _labels(spark, sf_dir))
     return quality.add_quality(docs, model).where("quality_score >= 0.5").select(*docs.columns)
 
 
