@@ -21,17 +21,18 @@ from pyspark.sql.window import Window
 
 from .common import Scope, salt_of, stage, text_or_empty
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"\x20\x09-\x0D"
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, seq, pos, words, a, b): the lines with a word; pos counts all lines, seq these; a, b are a 128-bit id."""
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: F.length(F.trim(F.translate(s["line"], "\t\r\x0b\x0c", "    "))) > 0).alias("lines")
-    )
-    return lines.select("doc", F.posexplode("lines").alias("seq", "s")).select(
-        "doc", "seq", F.col("s.pos").alias("pos"), F.regexp_count("s.line", F.lit(WORD)).alias("words"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit("line"), "s.line").alias("b")
-    )
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
+    """(doc, seq, pos, long, a, b): the lines with a word; pos counts all lines, seq these; a, b are a 128-bit id.
+
+    long: at least ``min_words`` words; the pattern ends with the last word it asks for and never goes back.
+    """
+    found = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.filter(found, lambda s: s["line"].rlike(f"[^{SPACE}]")).alias("lines"))
+    long = F.col("s.line").rlike(f"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{max(0, min_words - 1)}}}[^{SPACE}]")
+    return lines.select("doc", F.posexplode("lines").alias("seq", "s")).select("doc", "seq", F.col("s.pos").alias("pos"), long.alias("long"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit("line"), "s.line").alias("b"))
 
 
 def rank_repeats(blocks: DataFrame, scope: Scope) -> DataFrame:
@@ -71,12 +72,12 @@ def _later(r: DataFrame) -> DataFrame:
     return r.where((F.col("first.doc") != F.col("doc")) | (F.col("first.seq") != F.col("seq")))
 
 
-def later_copies(lines: DataFrame, rounds: list[DataFrame], *, min_lines: int = 2, min_words: int = 10) -> DataFrame:
+def later_copies(lines: DataFrame, rounds: list[DataFrame], *, min_lines: int = 2) -> DataFrame:
     """(doc, seq) of the lines to delete, some of them several times."""
     q = min_lines.bit_length() - 1
     if min_lines < 1 or 1 << q != min_lines:
         raise ValueError("min_lines: a power of two")
-    long = lines.where(F.col("words") >= min_words).select("doc", "seq")
+    long = lines.where("long").select("doc", "seq")
     out = _later(rounds[0]).join(long, ["doc", "seq"], "left_semi").select("doc", "seq")
     if q < len(rounds):
         blocks = _later(rounds[q]).select("doc", F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq"))
@@ -123,9 +124,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     longest_run are replaced.
     """
     with Scope() as scope:
-        lines = scope.stage(line_table(docs, id_col, text_col), "line_table")
+        lines = scope.stage(line_table(docs, id_col, text_col, min_words), "line_table")
         rounds = repeated_blocks(lines, scope)
-        gone = later_copies(lines, rounds, min_lines=min_lines, min_words=min_words).distinct()
+        gone = later_copies(lines, rounds, min_lines=min_lines).distinct()
         runs = maximal_runs(rounds, max(2, min_lines), scope).groupBy("doc").agg(F.max("len").cast("long").alias("len"))
         per = lines.select("doc", "seq", "pos").join(gone, ["doc", "seq"]).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
         # a document without a run of two lines or more lost single lines
@@ -134,7 +135,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # the lines travel through the join as an array, so that the deletion below looks them up instead of splitting again
     arrays = docs.where(F.col(id_col).isNotNull()).withColumn("__lines", F.split(F.col(text_col), "\n", -1)).drop(text_col)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.element_at("__lines", i + 1))
-    out = arrays.join(per, arrays[id_col] == per["__doc"], "left")
+    # what is deleted grows with the documents: a broadcast would serve small tables only, and hide what larger ones cost
+    out = arrays.join(per.hint("merge"), arrays[id_col] == per["__doc"], "left")
     text = F.array_join(F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(left), "\n").alias(text_col)
     names = [c for c in docs.columns if c not in ("lines_removed", "longest_run")]
     out = out.select(*[text if c == text_col else F.col(c) for c in names], F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_removed"), F.coalesce("__run", F.lit(0).cast("long")).alias("longest_run"))
