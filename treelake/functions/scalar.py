@@ -31,14 +31,32 @@ _DAY = 86400
 
 def agecat(t: Column, now: int) -> Column:
     steps = [(1, "Zero"), (60, "Secs"), (3600, "Mins"), (_DAY, "Hrs"), (7 * _DAY, "Days"), (30 * _DAY, "Wks"), (365 * _DAY, "Mos"), (3650 * _DAY, "Yrs")]
-    return F.when(F.lit(now) >= t, chain(F.lit(now) - t, steps, "Decs"))
+    return F.when(F.lit(now) >= t, chain(F.lit(now) - t, steps, "Decs")).when(t.isNotNull(), bad_timestamp(t))
+
+
+def bad_timestamp(t: Column) -> Column:
+    """An age of a time that lies ahead is an error, as is one of a negative number of seconds."""
+    return F.raise_error(F.concat(F.lit("timestamp ahead of the clock: "), t.cast("string"))).cast("string")
 
 
 AGE_UNITS = {"s": 1, "m": 60, "h": 3600, "d": _DAY, "w": 7 * _DAY, "M": 30 * _DAY, "y": 365 * _DAY, "D": 3650 * _DAY}
 
 
 def epochtoage(t: Column, now: int, unit: str = "d") -> Column:
-    return F.floor((F.lit(now) - t) / AGE_UNITS.get(unit, _DAY)).cast("long")
+    """Whole units since a time; days where the unit is unknown.  A time ahead of the clock is an error."""
+    return F.when(F.lit(now) >= t, quotient(F.lit(now) - t, AGE_UNITS.get(unit, _DAY))).when(t.isNotNull(), bad_timestamp(t).cast("long"))
+
+
+def quotient(x: Column, y: Column | int) -> Column:
+    """Integer quotient, exact for every long; null where ``y`` is 0."""
+    y = (F.lit(y) if isinstance(y, int) else y).cast("long")
+    return F.when(y != 0, F.call_function("div", x.cast("long"), y))
+
+
+def quotient_up(x: Column, y: int) -> Column:
+    """Quotient of numbers that aren't negative, rounded up, exact for every long."""
+    x = x.cast("long")
+    return quotient(x, y) + F.when(x % F.lit(y).cast("long") > 0, 1).otherwise(0).cast("long")
 
 
 def unit_factor(unit: str) -> tuple[int, int, str]:
@@ -53,7 +71,7 @@ def unit_factor(unit: str) -> tuple[int, int, str]:
 def blocksize(size: Column, unit: str) -> Column:
     """Blocks of a unit that hold a size, rounded up; the unit is printed unless a number leads it."""
     count, factor, suffix = unit_factor(unit)
-    blocks = F.ceil(size / F.lit(count * factor)).cast("long").cast("string")
+    blocks = quotient_up(size, count * factor).cast("string")
     return F.concat(blocks, F.lit(suffix)) if suffix else blocks
 
 
@@ -87,13 +105,38 @@ def modetotxt(mode: Column) -> Column:
     return F.concat(*out)
 
 
-_STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "b": "MMM", "a": "EEE", "B": "MMMM", "A": "EEEE", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "%": "%"}
+_DATE = {
+    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "b": "MMM", "h": "MMM", "a": "EEE", "B": "MMMM", "A": "EEEE", "F": "yyyy-MM-dd", "T": "HH:mm:ss",
+    "R": "HH:mm", "D": "MM/dd/yy", "I": "hh", "p": "a", "z": "xx", "Z": "zzz", "r": "hh:mm:ss a",
+}
 
 
 def strftime(fmt: str, t: Column) -> Column:
-    """C format of epoch seconds in the session time zone."""
-    parts = [F.date_format(F.timestamp_seconds(t), _STRFTIME[p[1]]) if p[0] == "%" and p != "%%" else F.lit("%" if p == "%%" else p) for p in re.findall(r"%.|[^%]+", fmt)]
-    return F.concat(*parts)
+    """C format of epoch seconds in the session time zone; a directive that C doesn't know is a ValueError."""
+    at = F.timestamp_seconds(t)
+    show = lambda p: F.date_format(at, p)
+    special = {
+        "%": F.lit("%"), "n": F.lit("\n"), "t": F.lit("\t"), "s": t.cast("string"),
+        "e": F.lpad(show("d"), 2, " "), "k": F.lpad(show("H"), 2, " "), "l": F.lpad(show("h"), 2, " "),
+        "C": F.lpad(quotient(F.year(at), 100).cast("string"), 2, "0"), "u": (F.weekday(at) + 1).cast("string"), "w": (F.dayofweek(at) - 1).cast("string"),
+        "V": F.lpad(F.weekofyear(at).cast("string"), 2, "0"),
+        "G": F.extract(F.lit("YEAROFWEEK"), at).cast("string"),
+        "U": F.lpad(quotient(F.dayofyear(at) + 7 - F.dayofweek(at), 7).cast("string"), 2, "0"),
+        "W": F.lpad(quotient(F.dayofyear(at) + 6 - F.weekday(at), 7).cast("string"), 2, "0"),
+        "c": F.concat(show("EEE MMM "), F.lpad(show("d"), 2, " "), show(" HH:mm:ss yyyy")),
+        "x": show("MM/dd/yy"), "X": show("HH:mm:ss"),
+    }
+    parts = []
+    for p in re.findall(r"%.|[^%]+|%$", fmt, re.DOTALL):
+        if p[0] != "%" or p == "%":
+            parts.append(F.lit(p))
+        elif p[1] in _DATE:
+            parts.append(show(_DATE[p[1]]))
+        elif p[1] in special:
+            parts.append(special[p[1]])
+        else:
+            raise ValueError(f"time format: {p!r}")
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def rpath(dir_path: Column, name: Column | None = None) -> Column:
@@ -117,6 +160,15 @@ def stdev_from_parts(sq: Column, s: Column, n: Column, sample: bool) -> Column:
     return F.sqrt(top / (n.cast("double") * (n - 1 if sample else n)))
 
 
+def median(x: Column) -> Column:
+    """Exact median of a group, null without rows; fractions are kept.  ``operators.analyses.medians`` is for large groups."""
+    return F.percentile(x, 0.5)
+
+
+def l2_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda acc, v: acc + v))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
@@ -139,4 +191,4 @@ def glob_to_regex(glob: str) -> str:
         else:
             out += re.escape(c)
         i += 1
-    return f"(?s)^{out}$"
+    return rf"(?s)\A{out}\z"

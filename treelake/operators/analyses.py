@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .summary import checkpointed
+from ..sources.scratch import written
 
 
 def sibling_outliers(tree: DataFrame, value: str, sigmas: float = 3.0) -> DataFrame:
@@ -23,18 +23,18 @@ def find_outliers(tree: DataFrame, value: str, sigmas: float = 3.0) -> DataFrame
     it is an outlier and has no children ("no-subdirs") or no outlier among them ("subdirs-not-outliers")."""
     marked = sibling_outliers(tree.select("inode", "pinode", "path", "level", value), value, sigmas).select("inode", "pinode", "path", "level", value, "outlier")
     kids = marked.groupBy("pinode").agg(F.bool_or("outlier").alias("any"), F.count(F.lit(1)).alias("k")).withColumnRenamed("pinode", "inode")
-    nodes = checkpointed(marked.join(kids, "inode", "left").withColumn("any", F.coalesce("any", F.lit(False))))
+    nodes = written(marked.join(kids, "inode", "left").withColumn("any", F.coalesce("any", F.lit(False))))
     top = nodes.agg(F.max("level")).first()[0] or 0
     frontier, found = nodes.where("level = 0"), None
     for level in range(top + 1):
         here = frontier.where("outlier and not any").select("path", "level", F.when(F.col("k").isNull(), "no-subdirs").otherwise("subdirs-not-outliers").alias("outlier_type"), F.col(value).alias("value"))
         found = here if found is None else found.unionByName(here)
         go = frontier.where("k is not null and not (outlier and not any)").select(F.col("inode").alias("pinode"), F.col("any").alias("chosen"))
-        frontier = checkpointed(nodes.join(go, "pinode").where("not chosen or outlier").drop("chosen"))
+        frontier = written(nodes.join(go, "pinode").where("not chosen or outlier").drop("chosen"))
         if frontier.isEmpty():
             break
         if level % 16 == 15:
-            found = checkpointed(found)
+            found = written(found)
     return found
 
 

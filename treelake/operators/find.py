@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import glob_to_regex
+from ..functions.scalar import glob_to_regex, quotient_up
 
 SIZE_UNITS = {"b": 512, "c": 1, "w": 2, "k": 1024, "M": 1 << 20, "G": 1 << 30}
 
@@ -30,7 +30,7 @@ def days_since(col: str, now: int) -> Column:
 def size_is(arg: str) -> Column:
     """Sizes in units, rounded up: +3k, -10M, 5c."""
     unit = SIZE_UNITS[arg[-1]] if arg[-1] in SIZE_UNITS else 512
-    return compare(F.ceil(F.col("size") / unit), arg.rstrip("bcwkMG"))
+    return compare(quotient_up(F.col("size"), unit), arg.rstrip("bcwkMG"))
 
 
 def name_is(*globs: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 LOW, HIGH = (1 << 63) - 1, -(1 << 63)
 ANY = ["uid", "gid", "mtime", "ctime", "atime"]
 
@@ -76,11 +78,6 @@ def rollup_legal(p: str, c: str) -> Column:
     return open_ | (equal(0o555) & uid & gid) | (equal(0o550) & uid & gid) | (equal(0o500) & uid)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once, with its lineage cut; under ``spark.checkpoint.dir`` where that is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def rollup_fixpoint(dirs: DataFrame) -> DataFrame:
     """(inode, rolled): leaves are; others where all children are and every parent-child pair is legal.
 
@@ -91,10 +88,10 @@ def rollup_fixpoint(dirs: DataFrame) -> DataFrame:
     pairs = pairs.where("inode <> pinode").select("inode", F.col("pinode").alias("up"), rollup_legal("p", "c").alias("legal"))
     bad = pairs.where("not legal").select(F.col("up").alias("inode"), F.lit(True).alias("bad")).distinct()
     nodes = dirs.select("inode").join(pairs.select("inode", "up"), "inode", "left").join(bad, "inode", "left")
-    nodes = checkpointed(nodes.select("inode", "up", F.coalesce("bad", F.lit(False)).alias("bad")))
+    nodes = written(nodes.select("inode", "up", F.coalesce("bad", F.lit(False)).alias("bad")))
     while not nodes.where("up is not null").isEmpty():
         hit = nodes.where("bad and up is not null").select(F.col("up").alias("inode"), F.lit(True).alias("hit")).distinct()
         jump = nodes.select(F.col("inode").alias("up"), F.col("up").alias("next"))
         nodes = nodes.join(hit, "inode", "left").join(jump, "up", "left")
-        nodes = checkpointed(nodes.select("inode", F.col("next").alias("up"), (F.col("bad") | F.coalesce("hit", F.lit(False))).alias("bad")))
+        nodes = written(nodes.select("inode", F.col("next").alias("up"), (F.col("bad") | F.coalesce("hit", F.lit(False))).alias("bad")))
     return nodes.select("inode", (~F.col("bad")).alias("rolled"))
