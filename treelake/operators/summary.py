@@ -34,6 +34,31 @@ def identity(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), fill(c)).alias(c) if c[:3] in ("min", "max", "tot") else F.col(c) for c in df.columns])
 
 
+#: Columns beyond those of ``dir_summary``, where a tree has them.
+MORE = ["crtime", "ossint1", "ossint2", "ossint3", "ossint4"]
+
+
+def full_summary(entries: DataFrame, dirs: DataFrame) -> DataFrame:
+    """``dir_summary`` with birth times, the site's own numbers and the number of extended attributes, and the stat
+    columns and depth of the directory itself.  ``xattrs`` is an array or their number."""
+    attrs = F.size("xattrs") if dict(entries.dtypes).get("xattrs", "").startswith("array") else F.col("xattrs")
+    aggs = [f(c).alias(f"{n}{c}") for c in MORE for f, n in ((F.min, "min"), (F.max, "max"))]
+    aggs += [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"tot{c}") for c in MORE] + [F.coalesce(F.sum(attrs), F.lit(0)).cast("long").alias("totxattr")]
+    per = entries.groupBy("pinode").agg(*_entry_aggs(), *aggs).withColumnRenamed("pinode", "inode")
+    out = identity(dirs.join(per, "inode", "left"))
+    return out.withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))
+
+
+def full_tree_summary(summary: DataFrame) -> DataFrame:
+    """``tree_summary`` of ``full_summary``: birth times merge where a directory holds files, the rest always."""
+    has = F.col("totfiles") > 0
+    aggs = [F.sum("totxattr").cast("long").alias("totxattr"), F.max("depth").alias("maxdepth")]
+    for c in MORE:
+        use = (lambda x: F.when(has, F.col(x))) if c == "crtime" else F.col
+        aggs += [F.min(use(f"min{c}")).alias(f"min{c}"), F.max(use(f"max{c}")).alias(f"max{c}"), F.coalesce(F.sum(use(f"tot{c}")), F.lit(0)).cast("long").alias(f"tot{c}")]
+    return identity(closure(summary).groupBy("ancestor").agg(*_tree_aggs(), *aggs)).withColumnRenamed("ancestor", "path")
+
+
 def dir_summary(entries: DataFrame, dirs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per directory (and per value of ``by``, for directories that have entries of it)."""
     keys = ["pinode", *(by or [])]
@@ -55,17 +80,26 @@ def tree_summary(summary: DataFrame) -> DataFrame:
 
     Minima, maxima and time totals come from directories that hold files; sizes and counts from all.
     """
+    return identity(closure(summary).groupBy("ancestor").agg(*_tree_aggs())).withColumnRenamed("ancestor", "path")
+
+
+def one_tree_summary(summary: DataFrame, path: str = "") -> DataFrame:
+    """``tree_summary`` of a single directory: its subtree is cut out first, so nothing is repeated for ancestors."""
+    mine = summary if path == "" else summary.where((F.col("path") == path) | F.col("path").startswith(path + "/"))
+    return identity(mine.groupBy(F.lit(path).alias("path")).agg(*_tree_aggs()))
+
+
+def _tree_aggs() -> list[Column]:
     has = F.col("totfiles") > 0
     when = lambda c: F.when(has, F.col(c))
     sums = ["totfiles", "totlinks", "totsize", "totzero", "totltk", "totmtk", "totltm", "totmtm", "totmtg", "totmtt", "totblocks"]
     mins = ["minsize", "minuid", "mingid", "minmtime", "minctime", "minatime"]
-    aggs = [
+    return [
         (F.count(F.lit(1)) - 1).alias("totsubdirs"), F.max("totfiles").alias("maxsubdirfiles"), F.max("totlinks").alias("maxsubdirlinks"), F.max("totsize").alias("maxsubdirsize"),
         *[F.sum(c).cast("long").alias(c) for c in sums],
         *[F.min(when(c)).alias(c) for c in mins], *[F.max(when(c.replace("min", "max"))).alias(c.replace("min", "max")) for c in mins],
         *[F.coalesce(F.sum(when(c)), F.lit(0)).cast("long").alias(c) for c in ("totmtime", "totctime", "totatime")],
     ]
-    return identity(closure(summary).groupBy("ancestor").agg(*aggs)).withColumnRenamed("ancestor", "path")
 
 
 def rollup_legal(p: str, c: str) -> Column:
@@ -95,3 +129,35 @@ def rollup_fixpoint(dirs: DataFrame) -> DataFrame:
         nodes = nodes.join(hit, "inode", "left").join(jump, "up", "left")
         nodes = written(nodes.select("inode", F.col("next").alias("up"), (F.col("bad") | F.coalesce("hit", F.lit(False))).alias("bad")))
     return nodes.select("inode", (~F.col("bad")).alias("rolled"))
+
+
+def rollup_plan(dirs: DataFrame, summary: DataFrame, *, limit: int | None = None, min_level: int = 0) -> DataFrame:
+    """(inode, path, level, rolled, subdirs, entries, before, after, why): which directories are rolled up, and why not.
+
+    ``limit``: most files and links that a directory may hold alone (``before``) and with what is rolled into it
+    (``after``); ``min_level``: directories above it are never rolled up.  A directory is rolled up if every one below
+    it is, every parent-child pair is legal and the limit holds; as entries only grow upwards, that is where none of
+    its subtree breaks a rule, so one pass over ancestors decides all.
+    """
+    legal = rollup_fixpoint(dirs)
+    own = summary.select("inode", "path", "level", (F.col("totfiles") + F.col("totlinks")).alias("entries"))
+    whole = closure(own.select("path", "entries")).groupBy(F.col("ancestor").alias("path")).agg(F.sum("entries").cast("long").alias("after"))
+    kids = dirs.where("inode <> pinode").groupBy(F.col("pinode").alias("inode")).agg(F.count(F.lit(1)).alias("subdirs"))
+    out = own.join(whole, "path").join(legal, "inode").join(kids, "inode", "left").withColumns({"subdirs": F.coalesce("subdirs", F.lit(0).cast("long")), "before": F.col("entries")})
+    over = lambda c: F.lit(False) if limit is None else F.col(c) > limit
+    why = F.when(F.col("level") < min_level, "not processed").when(~F.col("rolled"), "permissions").when(over("before"), "too many before").when(over("after"), "too many after")
+    return out.withColumn("why", why).withColumn("rolled", F.col("why").isNull()).select("inode", "path", "level", "rolled", "subdirs", "entries", "before", "after", "why")
+
+
+def rollup_statistics(plan: DataFrame) -> DataFrame:
+    """One row per fate of a directory (rolled up, or why not): how many, how many of them empty, and of subdirectories,
+    entries and levels the least, greatest, mean and median."""
+    from .analyses import medians
+
+    p = plan.withColumn("fate", F.coalesce("why", F.lit("rolled up"))).withColumn("level", F.col("level").cast("long"))
+    of = ["subdirs", "entries", "level"]
+    aggs = [f(c).alias(f"{c}_{n}") for c in of for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
+    out = p.groupBy("fate").agg(F.count(F.lit(1)).alias("dirs"), F.count_if(F.col("entries") == 0).alias("empty"), F.sum("entries").alias("total"), *aggs)
+    for c in of:
+        out = out.join(medians(p, ["fate"], c).withColumnRenamed("median", f"{c}_median"), "fate")
+    return out

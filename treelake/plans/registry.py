@@ -223,7 +223,7 @@ def treesummary_all(x: Index, s, d):
 
 @query("SELECT * FROM tree WHERE path = ''", _TREE)
 def treesummary_root(x: Index, s, d):
-    return M.tree_summary(M.dir_summary(x.entries, x.dirs)).where("path = ''")
+    return M.one_tree_summary(M.dir_summary(x.entries, x.dirs))
 
 
 for _k in ("uid", "gid"):
@@ -293,6 +293,12 @@ def _per_leaf(x: Index):
     return _leaves(x).select("inode").join(e, "inode", "left").groupBy("inode").agg(F.count_if(C("type") == "f").alias("files"), F.count_if(C("type") == "l").alias("links"), F.coalesce(F.sum(F.when(C("type") == "f", C("size"))), F.lit(0)).alias("bytes"))
 
 
+def _median_leaf(x: Index) -> DataFrame:
+    long = _per_leaf(x).select(F.stack(F.lit(3), F.lit("files"), "files", F.lit("links"), "links", F.lit("bytes"), "bytes").alias("c", "v"))
+    m = A.medians(long, ["c"], "v")
+    return m.agg(*[F.max(F.when(C("c") == c, C("median"))).alias(c) for c in ("files", "links", "bytes")])
+
+
 _PER_LEAF = _LEAF + ", perleaf AS (SELECT leaf.inode, count(*) FILTER (WHERE type = 'f') AS files, count(*) FILTER (WHERE type = 'l') AS links, coalesce(CAST(sum(size) FILTER (WHERE type = 'f') AS BIGINT), 0) AS bytes FROM leaf LEFT JOIN entries e ON e.pinode = leaf.inode GROUP BY leaf.inode)"
 stat("depth", lambda x: x.dirs.select("inode", F.when(C("path") == "", 0).otherwise(F.size(F.split("path", "/"))).alias("depth")), "SELECT inode, CAST(CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS INTEGER) AS depth FROM dirs")
 stat("filesize", lambda x: x.dirs.select("inode").join(x.entries.where("type = 'f'").groupBy(C("pinode").alias("inode")).agg(F.sum("size").alias("bytes")), "inode", "left").na.fill(0), "SELECT d.inode, coalesce(CAST(sum(size) AS BIGINT), 0) AS bytes FROM dirs d LEFT JOIN entries e ON e.pinode = d.inode AND type = 'f' GROUP BY d.inode")
@@ -309,7 +315,7 @@ stat("dirs_per_level", lambda x: x.dirs.groupBy("level").agg(F.count(F.lit(1)).a
 stat("leaf_dirs", lambda x: _leaves(x).select("inode", "path"), "SELECT inode, path FROM leaf", _LEAF)
 stat("leaf_depth", lambda x: _leaves(x).groupBy("level").agg(F.count(F.lit(1)).alias("n")), "SELECT level, count(*) AS n FROM leaf GROUP BY level", _LEAF)
 stat("average_leaf", lambda x: _per_leaf(x).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("files", "links", "bytes")]), "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("files", "links", "bytes")) + " FROM perleaf", _PER_LEAF)
-stat("median_leaf", lambda x: _per_leaf(x).agg(*[F.percentile(c, 0.5).alias(c) for c in ("files", "links", "bytes")]), "SELECT " + ", ".join(f"CAST(median({c}) AS DOUBLE) AS {c}" for c in ("files", "links", "bytes")) + " FROM perleaf", _PER_LEAF)
+stat("median_leaf", lambda x: _median_leaf(x), "SELECT " + ", ".join(f"CAST(median({c}) AS DOUBLE) AS {c}" for c in ("files", "links", "bytes")) + " FROM perleaf", _PER_LEAF)
 stat("extensions", lambda x: x.entries.groupBy(S.ext(C("name")).alias("ext")).agg(F.count(F.lit(1)).alias("n")), r"SELECT nullif(regexp_extract(name, '\.([^.]+)$', 1), '') AS ext, count(*) AS n FROM entries GROUP BY 1")
 stat("duplicate_names", lambda x: x.entries.join(x.entries.groupBy("name", "type", "size").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), ["name", "type", "size"]).select("inode", "name", "size", "copies"), "SELECT inode, name, size, copies FROM (SELECT *, count(*) OVER (PARTITION BY name, type, size) AS copies FROM entries) WHERE copies > 1")
 for _b, _n in ((2, 60), (1024, 6)):
@@ -425,25 +431,12 @@ def _sized(x: Index) -> DataFrame:
     return x.dirs.join(tree, "path").select("inode", "pinode", "path", "level", "totsize")
 
 
-@query(None)
-def outliers_full(x: Index, s, d):
-    return A.find_outliers(_sized(x), "totsize")
-
-
 @query("SELECT level, count(*) AS n, " + ", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max, round(avg({c}), 6) AS {c}_mean, CAST(median({c}) AS DOUBLE) AS {c}_median, round(stddev_pop({c}), 4) AS {c}_stdevp, count(DISTINCT {c}) AS {c}_unique" for c in ("totfiles", "totlinks", "totzero")) + " FROM summary GROUP BY level", _SUMMARY)
 def snapshot_by_level(x: Index, s, d):
     out = A.snapshot(M.dir_summary(x.entries, x.dirs), ["level"], ["totfiles", "totlinks", "totzero"])
     return out.select(*[F.round(c, 6).alias(c) if c.endswith("mean") else F.round(c, 4).alias(c) if c.endswith("stdevp") else C(c) for c in out.columns])
 
 
-@query("SELECT a.level, round(sqrt(pow(a.f - b.f, 2) + pow(a.l - b.l, 2)), 6) AS l2, round(1 - (a.f * b.f + a.l * b.l) / nullif(sqrt(a.f * a.f + a.l * a.l) * sqrt(b.f * b.f + b.l * b.l), 0), 6) AS cosine FROM (SELECT level, avg(totfiles) AS f, avg(totlinks) AS l FROM summary GROUP BY level) a JOIN (SELECT level, avg(totsize > 0) AS f, avg(totzero) AS l FROM (SELECT level, CAST(totsize > 0 AS INTEGER) AS x, totzero, totsize FROM summary) GROUP BY level) b ON a.level = b.level".replace("avg(totsize > 0)", "avg(x)"), _SUMMARY)
-def level_distance(x: Index, s, d):
-    m = M.dir_summary(x.entries, x.dirs).groupBy("level").agg(F.avg("totfiles").alias("f"), F.avg("totlinks").alias("l"), F.avg((C("totsize") > 0).cast("int")).alias("g"), F.avg("totzero").alias("k"))
-    dot = C("f") * C("g") + C("l") * C("k")
-    norm = F.sqrt(C("f") * C("f") + C("l") * C("l")) * F.sqrt(C("g") * C("g") + C("k") * C("k"))
-    return m.select("level", F.round(F.sqrt(F.pow(C("f") - C("g"), 2) + F.pow(C("l") - C("k"), 2)), 6).alias("l2"), F.round(1 - F.try_divide(dot, norm), 6).alias("cosine"))
-
-
 _DIRMODE = "dm AS (SELECT inode, pinode, level, CASE hash5 WHEN 0 THEN 509 WHEN 1 THEN 493 WHEN 2 THEN 488 ELSE 448 END AS mode, u AS uid, u % 3 AS gid FROM (SELECT inode, pinode, level, length(path) % 4 AS hash5, CASE WHEN level >= 3 THEN 7 ELSE level END AS u FROM dirs))"
 
 
@@ -460,11 +453,6 @@ def rollup_pairs(x: Index, s, d):
     return m.select("inode", "pinode", *[C(c).alias(f"c{c}") for c in ("mode", "uid", "gid")]).join(p, "pinode").select("inode", M.rollup_legal("p", "c").alias("legal"))
 
 
-@query(None)
-def rollup_fixpoint(x: Index, s, d):
-    return M.rollup_fixpoint(_modes(x))
-
-
 @query("SELECT a.vec_id, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / sqrt(list_sum(list_transform(a.embedding, lambda v: CAST(v AS DOUBLE) * v)) * list_sum(list_transform(b.embedding, lambda v: CAST(v AS DOUBLE) * v))), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
 def vector_cosine(x: Index, s, d):
     e = table(s, d, "embeddings")
@@ -488,11 +476,9 @@ def events_windows(x: Index, s, d):
     return streams.hourly_counts(table(s, d, "events"))
 
 
-@query(None)
-def events_stream(x: Index, s, d):
-    return streams.run_hourly(s, d)
-
-
 @query("SELECT inode, name, type, size, mtime FROM entries")
 def trace_roundtrip(x: Index, s, d):
     return trace.parse(trace.format_lines(x.entries, x.dirs)).where("type <> 'd'").select("inode", "name", "type", "size", "mtime")
+
+
+from . import more  # noqa: E402, F401  (registers its queries here)
