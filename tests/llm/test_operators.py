@@ -119,14 +119,6 @@ def test_line_dedup_edges(spark):
         line_dedup.line_dedup(docs(spark, EDGE), min_lines=3)
 
 
-def test_line_dedup_sql(spark):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    want = c.execute(queries.OP2_SQL).df().set_index("doc_id").sort_index()
-    got = queries.op2_line_dedup(spark, SMALL).toPandas().set_index("doc_id").sort_index()
-    assert (got.text_sha256 == want.text_sha256).all() and (got.lines_removed == want.lines_removed).all()
-
-
 # classifiers
 
 
