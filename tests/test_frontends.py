@@ -11,6 +11,7 @@ from treelake.functions import hist as H
 from treelake.functions import scalar as S
 from treelake.functions.register import register
 from treelake.operators import analyses as A
+from treelake.operators import find as P
 from treelake.operators import summary as M
 from treelake.plans import frontends, plugins, staged
 from treelake.sources import views
@@ -208,6 +209,12 @@ def test_views_and_tables(spark, tree, tmp_path):
         views.external_copy(spark, f"{tmp_path}/dbs", "none", "SELECT * FROM extdb")
 
 
+def test_long_path_lists(tree):
+    many = ["directory", "leaf_directory", *(f"none{i}" for i in range(30))]
+    short, long = P.path_list(tree.dirs, many[:2]), P.path_list(tree.dirs, many)
+    assert sorted(values(short.select("path"))) == sorted(values(long.select("path"))) == ["directory", "directory/subdirectory", "leaf_directory"]
+
+
 def test_plugins(spark, tree):
     class Small(plugins.Plugin):
         def file_action(self):

@@ -63,6 +63,14 @@ def test_full_trace_round_trip(spark, index, tmp_path):
     assert first and all(f"{trace.SEP}d{trace.SEP}" in line for line in first)
 
 
+def test_trace_as_a_stream(spark, index, tmp_path):
+    trace.write_full(index.entries, index.dirs, f"{tmp_path}/in")
+    rows = trace.read_full(spark, f"{tmp_path}/in", stream=True)
+    q = rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+
+
 def test_verify_finds_what_is_wrong(spark, index):
     lines = trace.full_lines(index.entries, index.dirs).select("line")
     bad = lines.where(~F.col("line").contains("leaf_directory" + trace.SEP)).unionByName(spark.createDataFrame([("zzzz broken",)], "line string")).unionByName(lines.where(F.col("line").contains("1MB")))

@@ -49,30 +49,46 @@ def incremental_diff(index: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def snapshot(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Per group and column: min, max, mean, median, population deviation, number of distinct values."""
-    aggs = []
-    for c in columns:
-        aggs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_stdevp"), F.count_distinct(c).alias(f"{c}_unique")]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    """Per group and column of whole numbers: min, max, mean, median, population deviation, number of distinct values.
 
-
-def medians(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    Values are counted first, by group, column and value, so a group of any size is pre-aggregated map side; no task
+    holds a group's values.
+    """
+    long = df.select(*by, F.stack(F.lit(len(columns)), *[x for c in columns for x in (F.lit(c), F.col(c).cast("long"))]).alias("__c", "__v"))
+    seen = written(long.groupBy(*by, "__c", "__v").agg(F.count(F.lit(1)).alias("__n")), "snapshot")
+    x, n = F.col("__v").cast("double"), F.sum("__n")
+    some = F.when(F.col("__v").isNotNull(), F.col("__n"))
+    one = seen.groupBy(*by, "__c").agg(n.alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"), (F.sum(x * some) / F.sum(some)).alias("mean"), F.count("__v").alias("unique"))
+    spread = seen.join(one.select(*by, "__c", "mean"), [*by, "__c"]).groupBy(*by, "__c").agg(F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * some) / F.sum(some)).alias("stdevp"))
+    rows = one.join(spread, [*by, "__c"]).join(medians(seen, [*by, "__c"], "__v", "__n"), [*by, "__c"], "left")
+    at = lambda c, f: F.max(F.when(F.col("__c") == c, F.col(f))).alias(f"{c}_{f}")
+    return rows.groupBy(*by).agg(F.max("n").alias("n"), *[at(c, f) for c in columns for f in ("min", "max", "mean", "median", "stdevp", "unique")])
+
+
+def medians(df: DataFrame, by: list[str], column: str, weight: str | None = None) -> DataFrame:
     """(by..., median): exact medians of whole numbers in groups of any size, nulls apart; no group meets in a task.
 
     A radix select: values are cut into four digits of 16 bits, the highest first.  A pass counts the digits of the
     values that share the digits found so far with the middle rank, at most 65,536 counts a group, and takes the next
-    one.  Even groups follow both middle ranks and give their mean.
+    one.  Even groups follow both middle ranks and give their mean.  ``weight``: how often a row counts, where ``df`` is
+    a staged table of counts already; else values are counted and staged first.
     """
     keys = [f"__k{i}" for i in range(len(by))]
     # the sign bit is turned round, so that digits of negative numbers sort before others
-    v = df.where(F.col(column).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(column).cast("long").bitwiseXOR(F.lit(-(1 << 63))).alias("v"))
-    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    target = n.select(*keys, F.explode(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))).alias("rank"), F.lit(0).cast("long").alias("found")).distinct()
+    v = df.where(F.col(column).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(column).cast("long").bitwiseXOR(F.lit(-(1 << 63))).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    if weight is None:
+        v = written(v.groupBy(*keys, "v").agg(F.sum("w").alias("w")), "values")
+    n = v.groupBy(*keys).agg(F.sum("w").alias("n"))
+    # digits that all values share are known beforehand: small numbers need one pass
+    ends = [x & ((1 << 64) - 1) for x in v.agg(F.min("v"), F.max("v")).first() if x is not None]
+    shifts = [s for s in (48, 32, 16, 0) if ends and (s == 0 or ends[0] >> s != ends[1] >> s)]
+    shared = ends[0] >> (shifts[0] + 16) if shifts and shifts[0] < 48 else 0
+    target = n.select(*keys, F.explode(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))).alias("rank"), F.lit(shared).cast("long").alias("found")).distinct()
     target = target.withColumn("which", F.col("rank"))
-    for shift in (48, 32, 16, 0):
+    for shift in shifts:
         digit = F.shiftrightunsigned("v", shift).bitwiseAND(F.lit(65535)).cast("int")
         above = F.lit(0).cast("long") if shift == 48 else F.shiftrightunsigned("v", shift + 16)
-        counts = v.select(*keys, above.alias("found"), digit.alias("digit")).groupBy(*keys, "found", "digit").agg(F.count(F.lit(1)).alias("c"))
+        counts = v.select(*keys, above.alias("found"), digit.alias("digit"), "w").groupBy(*keys, "found", "digit").agg(F.sum("w").alias("c"))
         cond = F.lit(True)
         t = target.select(*[F.col(k).alias(f"t{k}") for k in keys], F.col("found").alias("tfound"), "rank", "which")
         for a, b in [*((f"t{k}", k) for k in keys), ("tfound", "found")]:
@@ -113,7 +129,7 @@ def full_snapshot(df: DataFrame, view: str, columns: list[str], ref: int) -> Dat
     parts = seen.groupBy(*keys, bucket.alias("bucket")).agg(F.sum("c").alias("c"))
     item = F.struct("bucket", F.concat(F.when(F.col("column") == "mode", F.lpad(F.conv(F.col("bucket").cast("string"), 10, 8), 3, "0")).otherwise(F.col("bucket").cast("string")), F.lit(":"), F.col("c").cast("string"), F.lit(";")).alias("txt"))
     hist = parts.groupBy(*keys).agg(H.text_of(F.collect_list(item)).alias("hist"))
-    out = basic.join(more, keys).join(hist, keys).join(medians(long, keys, "value"), keys)
+    out = basic.join(more, keys).join(hist, keys).join(medians(seen, keys, "value", "c"), keys)
     return out.select(*keys, "n", "min", "max", "mean", "median", F.when(F.col("ties") == 1, F.col("top.value")).alias("mode"), "stdevp", "num_unique", "hist")
 
 

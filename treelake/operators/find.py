@@ -12,6 +12,10 @@ from ..functions.scalar import glob_to_regex, quotient_up
 SIZE_UNITS = {"b": 512, "c": 1, "w": 2, "k": 1024, "M": 1 << 20, "G": 1 << 30}
 
 
+#: Paths up to which ``path_list`` is a condition instead of a join.
+MOST_PATHS = 20
+
+
 def compare(x: Column, n: str) -> Column:
     """find's +n, -n and n."""
     v = float(n.lstrip("+-"))
@@ -72,7 +76,13 @@ def skip_names(dirs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def path_list(dirs: DataFrame, paths: list[str]) -> DataFrame:
-    """These directories and everything below them."""
+    """These directories and everything below them.  A long list is a table that ancestors are looked up in."""
+    if len(paths) > MOST_PATHS:
+        from .summary import closure
+
+        wanted = dirs.sparkSession.createDataFrame([(p.strip("/"),) for p in set(paths)], "ancestor string")
+        found = closure(dirs.select("inode", "path")).join(F.broadcast(wanted) if len(paths) < 100_000 else wanted, "ancestor", "left_semi").select("inode").distinct()
+        return dirs.join(found, "inode", "left_semi")
     hit = F.lit(False)
     for p in paths:
         hit = hit | (F.col("path") == p) | F.col("path").startswith(p + "/")

@@ -75,12 +75,29 @@ def closure(dirs: DataFrame) -> DataFrame:
     return dirs.withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
 
 
+_SUMS = ["totfiles", "totlinks", "totsize", "totzero", "totltk", "totmtk", "totltm", "totmtm", "totmtg", "totmtt", "totblocks"]
+_MINS = ["minsize", "minuid", "mingid", "minmtime", "minctime", "minatime"]
+_TIMES = ["totmtime", "totctime", "totatime"]
+
+
 def tree_summary(summary: DataFrame) -> DataFrame:
     """One row per directory over its whole subtree, from directory summaries.
 
-    Minima, maxima and time totals come from directories that hold files; sizes and counts from all.
+    Minima, maxima and time totals come from directories that hold files; sizes and counts from all.  Children are first
+    added up by their parent, so that only parents are repeated for their ancestors, not every directory.
     """
-    return identity(closure(summary).groupBy("ancestor").agg(*_tree_aggs())).withColumnRenamed("ancestor", "path")
+    has = F.col("totfiles") > 0
+    sums = {"totsubdirs": F.lit(1).cast("long")} | {c: F.col(c) for c in _SUMS} | {c: F.when(has, F.col(c)) for c in _TIMES}
+    mins = {c: F.when(has, F.col(c)) for c in _MINS}
+    maxs = {c.replace("min", "max"): F.when(has, F.col(c.replace("min", "max"))) for c in _MINS} | {"maxsubdirfiles": F.col("totfiles"), "maxsubdirlinks": F.col("totlinks"), "maxsubdirsize": F.col("totsize")}
+    merge = [F.sum(c).cast("long").alias(c) for c in sums] + [F.min(c).alias(c) for c in mins] + [F.max(c).alias(c) for c in maxs]
+    own = summary.select("path", *[e.alias(c) for c, e in (sums | mins | maxs).items()])
+    parent = F.when(F.instr("path", "/") == 0, "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    kids = own.where("path <> ''").groupBy(parent.alias("path")).agg(*merge)
+    cols = list(sums | mins | maxs)
+    rows = closure(kids).select("ancestor", *cols).unionByName(own.select(F.col("path").alias("ancestor"), *cols))
+    out = rows.groupBy("ancestor").agg(*merge).withColumn("totsubdirs", F.col("totsubdirs") - 1)
+    return identity(out).withColumnRenamed("ancestor", "path")
 
 
 def one_tree_summary(summary: DataFrame, path: str = "") -> DataFrame:
@@ -92,13 +109,12 @@ def one_tree_summary(summary: DataFrame, path: str = "") -> DataFrame:
 def _tree_aggs() -> list[Column]:
     has = F.col("totfiles") > 0
     when = lambda c: F.when(has, F.col(c))
-    sums = ["totfiles", "totlinks", "totsize", "totzero", "totltk", "totmtk", "totltm", "totmtm", "totmtg", "totmtt", "totblocks"]
-    mins = ["minsize", "minuid", "mingid", "minmtime", "minctime", "minatime"]
+    sums, mins = _SUMS, _MINS
     return [
         (F.count(F.lit(1)) - 1).alias("totsubdirs"), F.max("totfiles").alias("maxsubdirfiles"), F.max("totlinks").alias("maxsubdirlinks"), F.max("totsize").alias("maxsubdirsize"),
         *[F.sum(c).cast("long").alias(c) for c in sums],
         *[F.min(when(c)).alias(c) for c in mins], *[F.max(when(c.replace("min", "max"))).alias(c.replace("min", "max")) for c in mins],
-        *[F.coalesce(F.sum(when(c)), F.lit(0)).cast("long").alias(c) for c in ("totmtime", "totctime", "totatime")],
+        *[F.coalesce(F.sum(when(c)), F.lit(0)).cast("long").alias(c) for c in _TIMES],
     ]
 
 
@@ -154,7 +170,7 @@ def rollup_statistics(plan: DataFrame) -> DataFrame:
     entries and levels the least, greatest, mean and median."""
     from .analyses import medians
 
-    p = plan.withColumn("fate", F.coalesce("why", F.lit("rolled up"))).withColumn("level", F.col("level").cast("long"))
+    p = written(plan.withColumn("fate", F.coalesce("why", F.lit("rolled up"))).withColumn("level", F.col("level").cast("long")), "plan")
     of = ["subdirs", "entries", "level"]
     aggs = [f(c).alias(f"{c}_{n}") for c in of for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
     out = p.groupBy("fate").agg(F.count(F.lit(1)).alias("dirs"), F.count_if(F.col("entries") == 0).alias("empty"), F.sum("entries").alias("total"), *aggs)
