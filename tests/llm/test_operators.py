@@ -730,3 +730,18 @@ def test_pipeline_stages(spark):
     near = cp.stage(cp.drop_near_copies(spark, lines, SMALL), "t")
     assert {r.doc_id for r in near.collect()} == {d for d, (_, c) in brute_components(list(want.items()), 5).items() if d == c}
     assert cp.pack_batches(spark, near, SMALL).count() == near.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, a null id, repeated rows, extra columns of clashing names, and an empty table."""
+    import corpus_pipeline as cp
+
+    docs(spark, [(i, i % 2, i % 3 % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [*EDGE, *[(i, f"word{i % 2} some text of {i} " * 9) for i in range(10, 40)]]
+    clash = {c: F.lit("clash") for c in ("quality_score", "toxicity", "lines_removed", "longest_run", "component_id", "kept", "bucket", "label", "n_chars")}
+    for df in (docs(spark, rows).withColumns(clash), docs(spark, []).withColumns(clash)):
+        kept = df
+        for name, f in cp.STAGES[:-1]:
+            before, kept = kept, cp.stage(f(spark, kept, str(tmp_path)), "edge")
+            assert kept.columns == df.columns and kept.count() <= before.count(), name
+        assert cp.STAGES[-1][1](spark, kept, str(tmp_path)).count() == kept.count()

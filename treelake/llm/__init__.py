@@ -1,5 +1,5 @@
-"""Training-data operators (packing, dedup, classifiers, media, tokenizers).
+"""Operators for training-data pipelines.
 
-Nothing outside this subpackage imports it; ``queries.register`` hands its
-queries to ``__spark_entry__`` when the folder is present.
+Nothing else in the library imports this subpackage.  ``queries`` registers one query for each operator, with its SQL
+where SQL can say the same.
 """
