@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelake.llm import line_dedup, minhash, packing, quality, toxicity
-from treelake.llm.common import stage
+from treelake.llm.common import Scope, stage
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline_{name}")
-    return docs
+    """The last stage's rows; a stage's table is deleted as soon as the next one has been written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scope()
+    for name, f in STAGES[:-1]:
+        here = Scope()
+        docs = here.stage(f(spark, docs, sf_dir), f"pipeline_{name}")
+        before.close()
+        before = here
+    out = stage(STAGES[-1][1](spark, docs, sf_dir), f"pipeline_{STAGES[-1][0]}")
+    before.close()
+    return out
