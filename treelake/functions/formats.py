@@ -112,7 +112,7 @@ UNKNOWN = "UNKNOWN"
 def stat_directives() -> dict[str, tuple[Column, bool]]:
     """Directive -> (value, is a number) of stat's format, over the columns of ``frontends.listing``."""
     c = F.col
-    full = lambda t: strftime("%Y-%m-%d %H:%M:%S %z", t)
+    full = lambda t: strftime("%F %T %z", t)
     born = F.coalesce(c("crtime"), F.lit(0)) != 0
     quoted = F.concat(F.lit("'"), c("path"), F.lit("'"))
     return {
@@ -153,7 +153,15 @@ def stat_format(fmt: str, escapes: bool = False) -> Column:
     return F.concat(*out, F.lit(plain))
 
 
-STAT_DEFAULT = "  File: %N\n  Size: %-10s\tBlocks: %-10b IO Block: %-6o %F\nDevice: %d\tInode: %-10i  Links: %h\nAccess: (%04a/%10A)  Uid: (%5u/%8U)   Gid: (%5g/%8G)\nAccess: %x\nModify: %y\nChange: %z\n Birth: %w"
+def _owner(name: str, letter: str) -> str:
+    return f"{name}: (%5{letter}/%8{letter.upper()})"
+
+
+#: What stat prints without a format.
+STAT_DEFAULT = "\n".join([
+    "  File: %N", "  Size: %-10s\tBlocks: %-10b IO Block: %-6o %F", "Device: %d\tInode: %-10i  Links: %h", f"Access: (%04a/%10A)  {_owner('Uid', 'u')}   {_owner('Gid', 'g')}",
+    *(f"{what}: %{letter}" for what, letter in (("Access", "x"), ("Modify", "y"), ("Change", "z"), (" Birth", "w"))),
+])
 
 TIME_STYLES = {"full-iso": "%F %T %z", "long-iso": "%F %T", "iso": "%m-%d %R"}
 #: Half of a year of 365.2425 days, in seconds.

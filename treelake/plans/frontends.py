@@ -124,7 +124,7 @@ def ls(rows: DataFrame, *, directory: str = "", now: int = 0, all: bool = False,
 def stat(rows: DataFrame, fmt: str | None = None, *, printf: str | None = None, terse: bool = False) -> DataFrame:
     """(path, value) of stat's default text, its ``--format``, its ``--printf`` (with escapes) or its terse line."""
     if terse:
-        fmt = "%n %s %b %f %u %g %D %i %h %t %T %X %Y %Z %W %o"
+        fmt = " ".join(f"%{c}" for c in "nsbfugDihtTXYZWo")
     value = formats.stat_format(printf, True) if printf is not None else formats.stat_format(fmt if fmt is not None else formats.STAT_DEFAULT)
     return rows.select("path", value.alias("value"))
 

@@ -85,7 +85,7 @@ def find_printf_all(x: Index, s, d):
 
 @query(
     f"SELECT path, concat('''', path, '''', CASE WHEN type = 'l' THEN concat(' -> ''', linkname, '''') ELSE '' END, '|', rpad(CAST(size AS VARCHAR), CAST(greatest(10, length(CAST(size AS VARCHAR))) AS INTEGER), ' '), '|', blocks, '|', blksize, '|', CASE type WHEN 'f' THEN 'regular file' WHEN 'l' THEN 'symbolic link' ELSE 'directory' END, '|', printf('%x', mode), '|', lpad({_OCT}, 4, '0'), '/', lpad({_TXT}, 10, ' '), '|', "
-    "lpad(CAST(uid AS VARCHAR), CAST(greatest(5, length(CAST(uid AS VARCHAR))) AS INTEGER), ' '), '|', coalesce(usr, 'UNKNOWN'), '|', coalesce(grp, 'UNKNOWN'), '|', nlink, '|', inode, '|', strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S +0000'), '|', ctime, '|', CASE WHEN crtime = 0 THEN '-' ELSE strftime(make_timestamp(crtime * 1000000), '%Y-%m-%d %H:%M:%S +0000') END, '|?%') AS value FROM listing",
+    "lpad(CAST(uid AS VARCHAR), CAST(greatest(5, length(CAST(uid AS VARCHAR))) AS INTEGER), ' '), '|', coalesce(usr, 'UNKNOWN'), '|', coalesce(grp, 'UNKNOWN'), '|', nlink, '|', inode, '|', strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %X +0000'), '|', ctime, '|', CASE WHEN crtime = 0 THEN '-' ELSE strftime(make_timestamp(crtime * 1000000), '%Y-%m-%d %X +0000') END, '|?%') AS value FROM listing",
     _LISTING,
 )
 def stat_all(x: Index, s, d):
@@ -397,7 +397,7 @@ def template_space(x: Index, s, d):
 # traces and streams
 
 
-@query("SELECT inode, name, type, mode, nlink, uid, gid, size, blksize, blocks, atime, mtime, ctime, linkname, crtime, ossint1, ossint2, ossint3, ossint4, osstext1, osstext2, pinode, (SELECT count(*) FROM xattrs a WHERE a.inode = f.inode) AS attrs FROM fentries f", FULL_CTE)
+@query(f"SELECT inode, name, type, {', '.join(trace.NUMBERS)}, linkname, {', '.join(trace.OSS)}, osstext1, osstext2, pinode, (SELECT count(*) FROM xattrs a WHERE a.inode = f.inode) AS attrs FROM fentries f", FULL_CTE)
 def trace_full(x: Index, s, d):
     attrs = x.xattrs.groupBy("inode").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("xattrs"))
     entries = x.full_entries.drop("xattrs").join(attrs, "inode", "left")
