@@ -38,48 +38,40 @@ def schedule(size: int) -> tuple[np.ndarray, np.ndarray]:
 def lzw_encode(data: bytes) -> bytes:
     """Variable-width LZW of 8-bit samples: the table is cleared whenever it is full."""
     widths, _ = schedule(8)
-    codes, lens = [CLEAR], [9]
-    runs: list[list[int]] = []
-    # a node is [code, children]; roots are made anew for every table
+    runs: list[list[int]] = [[CLEAR]]
     it = iter(data)
-    c = next(it, None)
-    while True:
+    code = next(it, None)
+    full = True
+    while full:
         run: list[int] = []
-        put, free = run.append, FIRST
-        roots: list[dict | None] = [None] * 256
-        full = False
-        if c is not None:
-            code, node = c, roots[c]
-            if node is None:
-                node = roots[c] = {}
+        # the table: code of a phrase and the sample after it, as one number -> code of both
+        table: dict[int, int] = {}
+        put, get, free, full = run.append, table.get, FIRST, False
+        if code is not None:
             for c in it:
-                v = node.get(c)
-                if v is not None:
-                    code, node = v
-                    continue
-                put(code)
-                node[c] = (free, {})
-                free += 1
-                code, node = c, roots[c]
-                if node is None:
-                    node = roots[c] = {}
-                if free == MOST:
-                    full = True
-                    break
+                key = code << 8 | c
+                longer = get(key)
+                if longer is None:
+                    put(code)
+                    table[key] = free
+                    code = c
+                    free += 1
+                    if free == MOST:
+                        full = True
+                        break
+                else:
+                    code = longer
             if not full:
                 put(code)
         put(CLEAR if full else END)
         runs.append(run)
-        if not full:
-            break
-    code = np.concatenate([codes, *runs]).astype(np.uint16)
-    width = np.concatenate([lens, *[widths[: len(r)] for r in runs]])
+    codes = np.concatenate(runs).astype(np.uint32)
+    width = np.concatenate([[9], *[widths[: len(r)] for r in runs[1:]]])
     at = np.cumsum(width) - width
-    bits = np.zeros(int(width.sum()), np.uint8)
-    for b in range(12):
-        live = width > b if b >= 9 else slice(None)
-        bits[at[live] + b] = (code[live] >> b) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    # a code of 12 bits at most touches three bytes; the bits of different codes never meet, so bytes are sums
+    shifted, byte, n = codes << (at & 7).astype(np.uint32), at >> 3, -(-int(width.sum()) // 8)
+    out = np.bincount(byte, shifted & 255, n + 2) + np.bincount(byte + 1, shifted >> 8 & 255, n + 2) + np.bincount(byte + 2, shifted >> 16, n + 2)
+    return out[:n].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes, size: int, most: int) -> bytes:
@@ -268,9 +260,12 @@ def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray
         h, w = f.index.shape
         area = screen[f.top : f.top + h, f.left : f.left + w]
         index = f.index[: area.shape[0], : area.shape[1]]
-        shown = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
-        area[shown, :3] = f.palette[np.minimum(index, len(f.palette) - 1)][shown]
-        area[shown, 3] = 255
+        colours = f.palette[index if len(f.palette) == 256 else np.minimum(index, len(f.palette) - 1)]
+        if f.transparent is None:
+            area[..., :3], area[..., 3] = colours, 255
+        else:
+            shown = index != f.transparent
+            area[shown, :3], area[shown, 3] = colours[shown], 255
         yield screen.copy()
         if f.disposal == 2:
             area[:] = 0
@@ -280,9 +275,9 @@ def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """64 colour bins (two bits a channel) of the opaque pixels."""
-    p = rgba.reshape(-1, 4)
-    p = p[p[:, 3] > 0] >> 6
-    return np.bincount(p[:, 0].astype(int) << 4 | p[:, 1] << 2 | p[:, 2], minlength=64)
+    bins = rgba[..., 0] >> 2 & 48 | rgba[..., 1] >> 4 & 12 | rgba[..., 2] >> 6
+    opaque = rgba[..., 3] > 0
+    return np.bincount(bins.ravel() if opaque.all() else bins[opaque], minlength=64)
 
 
 def shown_frames(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[tuple[int, Frame, np.ndarray]]:
