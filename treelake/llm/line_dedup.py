@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scope, salt_of, stage, text_or_empty
+from .common import SALTS, Scope, salt_of, stage, text_or_empty
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -35,13 +35,17 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lines.select("doc", F.posexplode("lines").alias("seq", "s")).select("doc", "seq", F.col("s.pos").alias("pos"), long.alias("long"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit("line"), "s.line").alias("b"))
 
 
-def rank_repeats(blocks: DataFrame, scope: Scope) -> DataFrame:
+#: Places that share a salt on average, where a table has more than SALTS times as many.
+SALT_ROWS = 4_000_000
+
+
+def rank_repeats(blocks: DataFrame, scope: Scope, salts: int = SALTS) -> DataFrame:
     """Rank the repeated (a, b) of ``blocks`` and attach rank, first place and count to each place of them.
 
     Salted partial groups, merged, sorted by range, numbered in that order, and joined back by (key, salt): a key
-    that holds a third of all rows is spread over many partial groups.
+    that holds a third of all rows is spread over ``salts`` partial groups.
     """
-    salted = blocks.withColumn("salt", salt_of("doc", "seq"))
+    salted = blocks.withColumn("salt", salt_of("doc", "seq", salts=salts))
     part = salted.groupBy("a", "b", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "seq")).alias("first"))
     part = scope.stage(part, "line_part")
     whole = part.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
@@ -52,8 +56,9 @@ def rank_repeats(blocks: DataFrame, scope: Scope) -> DataFrame:
 
 def repeated_blocks(lines: DataFrame, scope: Scope) -> list[DataFrame]:
     """The intervals of each round: (doc, seq, rank, first, n), from length 1 by doubling until none is left."""
+    salts = max(SALTS, lines.count() // SALT_ROWS)
     with Scope() as own:
-        found = rank_repeats(lines.select("doc", "seq", "a", "b"), own)
+        found = rank_repeats(lines.select("doc", "seq", "a", "b"), own, salts)
         # rows that repeat an id repeat its places: one of them is enough, and texts that differ under one id keep the lowest rank
         found = found.groupBy("doc", "seq").agg(F.min(F.struct("rank", "first", "n")).alias("r")).select("doc", "seq", "r.*")
         rounds = [scope.stage(found, "line_round")]
@@ -62,7 +67,7 @@ def repeated_blocks(lines: DataFrame, scope: Scope) -> list[DataFrame]:
         after = here.select("doc", (F.col("seq") - step).alias("seq"), F.col("rank").alias("b"))
         pairs = here.select("doc", "seq", F.col("rank").alias("a")).join(after, ["doc", "seq"])
         with Scope() as own:
-            found = scope.stage(rank_repeats(pairs, own).select("doc", "seq", "rank", "first", "n"), "line_round")
+            found = scope.stage(rank_repeats(pairs, own, salts).select("doc", "seq", "rank", "first", "n"), "line_round")
         if found.isEmpty():
             return rounds
         rounds.append(found)
