@@ -90,13 +90,19 @@ def brute_lines(texts, min_lines, min_words):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
 
 
+def test_line_dedup_of_a_long_line(spark):
+    text = "x" * 1_000_000
+    out = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.line_dedup(docs(spark, [(1, text), (2, text), (3, "a\n" + text)]), min_words=1).collect()}
+    assert out == {1: (text, 0), 2: ("", 1), 3: ("a", 1)}
+
+
 def test_line_dedup_longest_run(spark):
     """Common prefixes in whole lines: 3 and 11 are no powers of two."""
     a, b = [f"line {i} of a" for i in range(11)], [f"b{i}" for i in range(3)]
     rows = [(1, "\n".join([*a, "x", *b])), (2, "\n".join(["y", *b, "z"])), (3, "\n".join([*a, "\n", *b, "w"])), (4, "one\ntwo"), (5, "\n".join(a[2:9]))]
     out = {r.doc_id: (r.lines_removed, r.longest_run) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
     assert out == {1: (0, 0), 2: (3, 3), 3: (14, 11), 4: (0, 0), 5: (7, 7)}
-    with line_dedup.Scope() as scope:
+    with common.Scope() as scope:
         rounds = line_dedup.repeated_blocks(line_dedup.line_table(docs(spark, rows)), scope)
         runs = {(r.doc, r.seq, r["first"].doc, r["first"].seq, r.len) for r in line_dedup.maximal_runs(rounds, 2, scope).collect()}
     assert runs == {(2, 1, 1, 12, 3), (3, 0, 1, 0, 11), (3, 11, 1, 12, 3), (5, 0, 1, 2, 7)}

@@ -9,18 +9,27 @@ from pyspark.sql.window import Window
 from .common import Scope, attach, stage
 
 
-def prefix_hashes(conversations: DataFrame) -> DataFrame:
+def prefix_hashes(conversations: DataFrame, scope: Scope) -> DataFrame:
     """(conv, i, n, role, text, p, q): the i-th turn of n, and the rolling 128-bit hash of turns 1 to i.
 
-    A turn's hash covers its position, role and text; a prefix is the exclusive-or of its turns.
+    A turn's hash covers its position, role and text; a prefix is the exclusive-or of its turns.  Turns are sorted by
+    range, so a conversation of very many lies in several parts: each is numbered and hashed apart, and the parts are
+    chained by their sizes and totals.
     """
     t = conversations.where("conv_id is not null").select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = Window.partitionBy("conv")
-    order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("i", F.row_number().over(order))
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    t = scope.stage(t.orderBy("conv", *order).withColumn("part", F.spark_partition_id()), "turns_sorted")
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.select("conv", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"), F.sum("m").over(Window.partitionBy("conv")).alias("n"))
+    t = t.join(sizes, ["conv", "part"]).withColumn("i", F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order)) + F.col("off"))
     t = t.withColumn("h", F.xxhash64("i", "role", "text")).withColumn("g", F.xxhash64(F.lit("turn"), "i", "role", "text"))
-    return t.select("conv", "i", F.count(F.lit(1)).over(whole).alias("n"), "role", "text", F.bit_xor("h").over(so_far).alias("p"), F.bit_xor("g").over(so_far).alias("q"))
+    so_far = Window.partitionBy("conv", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("conv", "part", "i", "n", "role", "text", F.bit_xor("h").over(so_far).alias("x"), F.bit_xor("g").over(so_far).alias("y"))
+    t = scope.stage(t, "turns_hashed")
+    ends = t.groupBy("conv", "part").agg(F.max_by("x", "i").alias("x"), F.max_by("y", "i").alias("y"))
+    chain = ends.select("conv", "part", F.coalesce(F.bit_xor("x").over(before), F.lit(0)).alias("bx"), F.coalesce(F.bit_xor("y").over(before), F.lit(0)).alias("by"))
+    return t.join(chain, ["conv", "part"]).select("conv", "i", "n", "role", "text", F.col("x").bitwiseXOR(F.col("bx")).alias("p"), F.col("y").bitwiseXOR(F.col("by")).alias("q"))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
@@ -40,7 +49,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     conv_id, turn, role and text are ignored.  Gaps in the turn numbers mean nothing.  A conversation is rendered
     whole, so the longest one must fit into a row, as a document's text must.
     """
-    turns = stage(prefix_hashes(conversations), "chat_turns")
+    with Scope() as scope:
+        turns = stage(prefix_hashes(conversations, scope), "chat_turns")
     keep = maximal_conversations(turns)
     lines = turns.join(keep, "conv", "left_semi").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"])), "\n")
