@@ -52,7 +52,7 @@ def full_summary(entries: DataFrame, dirs: DataFrame) -> DataFrame:
 def full_tree_summary(summary: DataFrame) -> DataFrame:
     """``tree_summary`` of ``full_summary``: birth times merge where a directory holds files, the rest always."""
     has = F.col("totfiles") > 0
-    aggs = [F.sum("totxattr").cast("long").alias("totxattr"), F.max("depth").alias("maxdepth")]
+    aggs = [F.sum("totxattr").cast("long").alias("totxattr"), F.max("depth").cast("int").alias("maxdepth")]
     for c in MORE:
         use = (lambda x: F.when(has, F.col(x))) if c == "crtime" else F.col
         aggs += [F.min(use(f"min{c}")).alias(f"min{c}"), F.max(use(f"max{c}")).alias(f"max{c}"), F.coalesce(F.sum(use(f"tot{c}")), F.lit(0)).cast("long").alias(f"tot{c}")]
@@ -172,7 +172,8 @@ def rollup_statistics(plan: DataFrame) -> DataFrame:
 
     p = written(plan.withColumn("fate", F.coalesce("why", F.lit("rolled up"))).withColumn("level", F.col("level").cast("long")), "plan")
     of = ["subdirs", "entries", "level"]
-    aggs = [f(c).alias(f"{c}_{n}") for c in of for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
+    kind = dict(plan.dtypes)
+    aggs = [(f(c) if n == "mean" else f(c).cast(kind[c])).alias(f"{c}_{n}") for c in of for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
     out = p.groupBy("fate").agg(F.count(F.lit(1)).alias("dirs"), F.count_if(F.col("entries") == 0).alias("empty"), F.sum("entries").alias("total"), *aggs)
     for c in of:
         out = out.join(medians(p, ["fate"], c).withColumnRenamed("median", f"{c}_median"), "fate")

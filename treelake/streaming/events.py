@@ -37,4 +37,5 @@ def run_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     end = batch.agg((F.max("ts") - F.expr("interval 1 day")).alias("mark")).first()["mark"]
     late = hourly_counts(batch.where(F.date_trunc("hour", "ts") + F.expr("interval 1 hour") > F.lit(end)))
-    return done.unionByName(late.join(done, ["event_type", "start"], "left_anti"))
+    out = done.unionByName(late.join(done, ["event_type", "start"], "left_anti"))
+    return out.withColumn("start", F.col("start").cast(hourly_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).schema["start"].dataType))
