@@ -52,11 +52,12 @@ def full_summary(entries: DataFrame, dirs: DataFrame) -> DataFrame:
 def full_tree_summary(summary: DataFrame) -> DataFrame:
     """``tree_summary`` of ``full_summary``: birth times merge where a directory holds files, the rest always."""
     has = F.col("totfiles") > 0
-    aggs = [F.sum("totxattr").cast("long").alias("totxattr"), F.max("depth").cast("int").alias("maxdepth")]
+    aggs = [F.sum("totxattr").cast("long").alias("totxattr"), F.max("depth").alias("maxdepth")]
     for c in MORE:
         use = (lambda x: F.when(has, F.col(x))) if c == "crtime" else F.col
         aggs += [F.min(use(f"min{c}")).alias(f"min{c}"), F.max(use(f"max{c}")).alias(f"max{c}"), F.coalesce(F.sum(use(f"tot{c}")), F.lit(0)).cast("long").alias(f"tot{c}")]
-    return identity(closure(summary).groupBy("ancestor").agg(*_tree_aggs(), *aggs)).withColumnRenamed("ancestor", "path")
+    out = identity(closure(summary).groupBy("ancestor").agg(*_tree_aggs(), *aggs)).withColumnRenamed("ancestor", "path")
+    return out.withColumn("maxdepth", F.col("maxdepth").cast("int"))
 
 
 def dir_summary(entries: DataFrame, dirs: DataFrame, by: list[str] | None = None) -> DataFrame:
