@@ -305,7 +305,7 @@ stat("filesize", lambda x: x.dirs.select("inode").join(x.entries.where("type = '
 for _t, _n in (("f", "file"), ("l", "link")):
     stat(f"{_n}count_left", lambda x, t=_t: _count(x, t), f"SELECT d.inode, count(e.inode) AS n FROM dirs d LEFT JOIN entries e ON e.pinode = d.inode AND type = '{_t}' GROUP BY d.inode")
     stat(f"total_{_n}count", lambda x, t=_t: x.entries.where(C("type") == t).groupBy("uid").agg(F.count(F.lit(1)).alias("n")), f"SELECT uid, count(*) AS n FROM entries WHERE type = '{_t}' GROUP BY uid")
-    stat(f"{_n}s_per_level", lambda x, t=_t: x.entries.where(C("type") == t).join(x.dirs.select(C("inode").alias("pinode"), "level"), "pinode").groupBy("level", "uid").agg(F.count(F.lit(1)).alias("n")), f"SELECT level, uid, count(*) AS n FROM entries e JOIN dirs d ON e.pinode = d.inode WHERE type = '{_t}' GROUP BY level, uid")
+    stat(f"{_n}s_per_level", lambda x, t=_t: x.placed.where(C("type") == t).groupBy(C("dlevel").alias("level"), "uid").agg(F.count(F.lit(1)).alias("n")), f"SELECT level, uid, count(*) AS n FROM entries e JOIN dirs d ON e.pinode = d.inode WHERE type = '{_t}' GROUP BY level, uid")
     stat(f"leaf_{_n}s", lambda x, n=_n: _per_leaf(x).select("inode", C(f"{n}s").alias("n")), f"SELECT inode, {_n}s AS n FROM perleaf", _PER_LEAF)
     stat(f"total_leaf_{_n}s", lambda x, n=_n: _per_leaf(x).agg(F.sum(f"{n}s").alias("n")), f"SELECT CAST(sum({_n}s) AS BIGINT) AS n FROM perleaf", _PER_LEAF)
 stat("total_filesize", lambda x: x.entries.where("type = 'f'").groupBy("uid").agg(F.sum("size").alias("bytes")), "SELECT uid, CAST(sum(size) AS BIGINT) AS bytes FROM entries WHERE type = 'f' GROUP BY uid")
