@@ -15,14 +15,16 @@ C = F.col
 DEFAULTS = {"nlink": 1, "blksize": 4096, "blocks": 0, "crtime": 0, "mode": 0, "uid": 0, "gid": 0, "size": 0, "atime": 0, "mtime": 0, "ctime": 0}
 
 
-def listing(entries: DataFrame, dirs: DataFrame, users: DataFrame | None = None, groups: DataFrame | None = None, start: str = "") -> DataFrame:
+def listing(entries: DataFrame, dirs: DataFrame, users: DataFrame | None = None, groups: DataFrame | None = None, start: str = "", placed: DataFrame | None = None) -> DataFrame:
     """Files, links and directories in one table: their stat columns, ``path`` below the start, ``level`` of the
     directory that holds them (their own for directories), ``start``, ``user`` and ``group``.
 
-    ``users`` (uid, user) and ``groups`` (gid, group) name owners; both are lookup tables of bounded size.
+    ``users`` (uid, user) and ``groups`` (gid, group) name owners; both are lookup tables of bounded size.  ``placed``:
+    the entries with ``dpath`` and ``dlevel`` of their directory, where a source has them already joined.
     """
     up = dirs.select(C("inode").alias("pinode"), C("path").alias("dpath"), C("level").alias("dlevel"))
-    e = entries.drop("dpath", "dlevel", "level", "path", "start").join(up, "pinode").withColumns({"path": F.concat_ws("/", F.nullif("dpath", F.lit("")), "name"), "level": C("dlevel")})
+    e = placed if placed is not None else entries.drop("dpath", "dlevel", "level", "path", "start").join(up, "pinode")
+    e = e.withColumns({"path": F.concat_ws("/", F.nullif("dpath", F.lit("")), "name"), "level": C("dlevel")})
     d = dirs.withColumns({"name": F.substring_index("path", "/", -1), "type": F.lit("d")})
     kids = entries.groupBy(C("pinode").alias("inode")).agg(F.count(F.lit(1)).alias("entries"))
     d = d.join(kids, "inode", "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
