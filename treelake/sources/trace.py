@@ -46,12 +46,14 @@ def parse(lines: DataFrame, col: str = "line") -> DataFrame:
     return out.select("path", F.substring_index("path", "/", -1).alias("name"), *[F.expr(f"try_cast({c} as bigint)").alias(c) if c in longs else F.col(c) for c in FIELDS])
 
 
-def full_lines(entries: DataFrame, dirs: DataFrame, external: DataFrame | None = None, sep: str = SEP) -> DataFrame:
+def full_lines(entries: DataFrame, dirs: DataFrame, external: DataFrame | None = None, sep: str = SEP, placed: bool = False) -> DataFrame:
     """(dpath, kind, line) of the full form, of tables as ``sources.store`` has them: sorted by these, each directory's
-    line comes first and those of its entries and side databases follow."""
+    line comes first and those of its entries and side databases follow.  ``placed``: entries have ``dpath`` of the
+    directory that holds them already."""
     own = dirs.select("*", F.col("path").alias("dpath"), F.lit(0).alias("kind"))
     under = dirs.select(F.col("inode").alias("pinode"), F.col("path").alias("dpath"))
-    e = entries.drop("dpath", "level", "start").join(under, "pinode").withColumn("path", F.concat_ws("/", F.nullif("dpath", F.lit("")), "name")).withColumn("kind", F.lit(1))
+    e = entries if placed else entries.drop("dpath", "level", "start").join(under, "pinode")
+    e = e.withColumn("path", F.concat_ws("/", F.nullif("dpath", F.lit("")), "name")).withColumn("kind", F.lit(1))
     rows = own.select("path", "dpath", "kind", "type", "inode", "pinode", "linkname", "xattrs", *NUMBERS, *OSS, "osstext1", "osstext2").unionByName(
         e.select("path", "dpath", "kind", "type", "inode", "pinode", "linkname", "xattrs", *NUMBERS, *OSS, "osstext1", "osstext2")
     )
