@@ -124,3 +124,19 @@ def test_line_items_move_once(spark, name):
     assert 0 < len(by) <= (4 if name == "outliers_level" else 2) and "hashpartitioning(o_custkey" not in plan
     if name in ("files_per_level", "ls_long", "trace_full", "find_path_glob"):
         assert not any("Exchange hashpartitioning(pinode" in line and "okey" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["ls_long", "find_path_glob", "find_printf_all", "stat_all"])
+def test_owners_are_looked_up_by_order(spark, name):
+    """No entry moves by its owner: below an exchange by uid there are directories and users only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    for i, line in enumerate(plan):
+        if "Exchange hashpartitioning(uid#" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("l_orderkey" in x for x in plan[i:below])
+    assert any("Exchange hashpartitioning(o_custkey#" in line for line in plan) and any("l_orderkey" in line for line in plan)

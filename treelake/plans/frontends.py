@@ -20,7 +20,8 @@ def listing(entries: DataFrame, dirs: DataFrame, users: DataFrame | None = None,
     directory that holds them (their own for directories), ``start``, ``user`` and ``group``.
 
     ``users`` (uid, user) and ``groups`` (gid, group) name owners; both are lookup tables of bounded size.  ``placed``:
-    the entries with ``dpath`` and ``dlevel`` of their directory, where a source has them already joined.
+    the entries with ``dpath`` and ``dlevel`` of their directory, where a source has them already joined; if they have
+    ``user`` too, only directories are joined with ``users``.
     """
     up = dirs.select(C("inode").alias("pinode"), C("path").alias("dpath"), C("level").alias("dlevel"))
     e = placed if placed is not None else entries.drop("dpath", "dlevel", "level", "path", "start").join(up, "pinode")
@@ -35,10 +36,13 @@ def listing(entries: DataFrame, dirs: DataFrame, users: DataFrame | None = None,
         text = lambda c: C(c) if c in df.columns else F.lit("").alias(c)
         return df.select(*shown, *[have(c, v) for c, v in DEFAULTS.items()], text("linkname"), *more)
 
-    out = full(e, [F.lit(None).cast("long").alias("entries")]).unionByName(full(d, [C("entries")])).withColumn("start", F.lit(start))
-    for table, key, name in ((users, "uid", "user"), (groups, "gid", "group")):
-        out = out.join(table.select(key, name), key, "left") if table is not None else out.withColumn(name, F.lit(None).cast("string"))
-    return out
+    def named(df: DataFrame, table: DataFrame | None, key: str, name: str) -> DataFrame:
+        return df.join(table.select(key, name), key, "left") if table is not None else df.withColumn(name, F.lit(None).cast("string"))
+
+    owned = placed is not None and "user" in placed.columns
+    files, folders = full(e, [F.lit(None).cast("long").alias("entries"), *[C("user")] * owned]), full(d, [C("entries")])
+    out = files.unionByName(named(folders, users, "uid", "user")) if owned else named(files.unionByName(folders), users, "uid", "user")
+    return named(out.withColumn("start", F.lit(start)), groups, "gid", "group")
 
 
 def _any(values, f) -> Column:
