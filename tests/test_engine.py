@@ -140,3 +140,23 @@ def test_owners_are_looked_up_by_order(spark, name):
             below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
             assert not any("l_orderkey" in x for x in plan[i:below])
     assert any("Exchange hashpartitioning(o_custkey#" in line for line in plan) and any("l_orderkey" in line for line in plan)
+
+
+@pytest.mark.parametrize("name", ["du", "outliers_level"])
+def test_summaries_move_once(spark, name):
+    """Directories meet their entries' sums once: children and ancestors of ``tree_summary`` read the same exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.QUERIES[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange hashpartitioning(inode#" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1
+
+
+def test_tree_summary_of_a_lone_root(spark):
+    dirs = spark.createDataFrame([("root", "", 0, "")], "inode string, pinode string, level int, path string")
+    ent = spark.createDataFrame([("root", "f", 700, 1, 2, 3, 4, 5)], "pinode string, type string, size long, uid long, gid long, mtime long, ctime long, atime long")
+    got = M.tree_summary(M.dir_summary(ent, dirs)).collect()
+    assert [(r.path, r.totsubdirs, r.totfiles, r.totsize, r.minuid, r.maxatime) for r in got] == [("", 0, 1, 700, 1, 5)]

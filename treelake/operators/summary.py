@@ -94,8 +94,9 @@ def tree_summary(summary: DataFrame) -> DataFrame:
     merge = [F.sum(c).cast("long").alias(c) for c in sums] + [F.min(c).alias(c) for c in mins] + [F.max(c).alias(c) for c in maxs]
     own = summary.select("path", *[e.alias(c) for c, e in (sums | mins | maxs).items()])
     parent = F.when(F.instr("path", "/") == 0, "").otherwise(F.regexp_replace("path", "/[^/]*$", ""))
-    kids = own.where("path <> ''").groupBy(parent.alias("path")).agg(*merge)
     cols = list(sums | mins | maxs)
+    # the root counts for nobody's children; a filter instead would reach the tables, and summaries would move twice
+    kids = own.select(parent.alias("path"), *[F.when(F.col("path") != "", F.col(c)).alias(c) for c in cols]).groupBy("path").agg(*merge)
     rows = closure(kids).select("ancestor", *cols).unionByName(own.select(F.col("path").alias("ancestor"), *cols))
     out = rows.groupBy("ancestor").agg(*merge).withColumn("totsubdirs", F.col("totsubdirs") - 1)
     return identity(out).withColumnRenamed("ancestor", "path")
